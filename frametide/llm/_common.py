@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, the separators of every word rule in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Column that numbers the rows of a written copy of documents.
+UID = "frametide_row_uid"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,26 +66,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-#: At most so many heavy keys are broadcast by ``skew_join``.
+#: At most so many keys are heavy in a ``skew_join``.
 HEAVY_KEYS = 2048
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join of many rows with a table that has each key once.
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: list[str]) -> DataFrame:
+    """Inner join of many rows with a table that has each key once, whatever share of the rows one key holds.
 
-    ``weight`` counts the left rows of a key. Keys with more than
-    ``total / HEAVY_KEYS`` left rows number fewer than ``HEAVY_KEYS``: that
-    bound makes them safe to broadcast, however large the data. All others are
-    joined by a shuffle in which no key holds more than that share.
-    The result has the columns of both sides, the keys once, without ``weight``.
+    ``weight`` counts a key's left rows, ``total`` all of them. Keys with more
+    than ``total / HEAVY_KEYS`` rows number fewer than ``HEAVY_KEYS``; only these
+    keys are broadcast, so the bound holds at any size. A heavy key's right row
+    is repeated once for each such share of left rows, and its left rows are
+    dealt over the repeats by a hash of ``spread``. The result has the columns of
+    both sides, the keys once, without ``weight``. Null keys match nothing.
     """
     limit = max(64, -(-total // HEAVY_KEYS))
-    heavy = F.broadcast(right.filter(F.col(weight) > limit).withColumn("_hot", F.lit(True)))
-    light = right.filter(F.col(weight) <= limit).drop(weight)
-    hot_keys = heavy.select(*keys)
-    hot = left.join(heavy.drop("_hot", weight), keys, "inner")
-    rest = left.join(F.broadcast(hot_keys), keys, "left_anti").join(light, keys, "inner")
-    return hot.unionByName(rest)
+    copies = F.greatest(F.ceil(F.col(weight) / F.lit(limit)), F.lit(1)).cast("int")
+    heavy = right.filter(F.col(weight) > limit).select(*keys, copies.alias("_copies"))
+    dealt = left.join(F.broadcast(heavy), keys, "left")
+    salt = F.when(F.col("_copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_copies")).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(weight)
+    return dealt.withColumn("_salt", salt).drop("_copies").join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
 def hex_unsigned(col: Column) -> Column:

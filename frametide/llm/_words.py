@@ -10,13 +10,18 @@ from __future__ import annotations
 
 from array import array
 
+import regex
 from tokenizers import Tokenizer
 
-#: Chunks that a worker learns before it forgets them and starts from the shared table again.
-CACHE_CHUNKS = 400_000
+#: Chunks in each of a worker cache's two generations.
+CACHE_CHUNKS = 350_000
 #: Longer chunks are encoded afresh each time.
 CACHE_CHARS = 48
 
+#: The published pattern of the vocabulary's pre-tokens.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN_ENDS = frozenset(".,;:!?")
+
 _LOADED: dict[str, Tokenizer] = {}
 
 
@@ -38,6 +43,13 @@ def load(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, the others, in order, for U+0100 onwards."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 def chunks(text: str) -> list[str]:
     """The parts of a text between ASCII white space.
 
@@ -50,37 +62,72 @@ def chunks(text: str) -> list[str]:
     return [c.decode() for c in text.encode().split()]
 
 
-class ChunkLengths(dict):
-    """Chunk -> number of tokens; the shared table below, learnt chunks on top."""
+class ChunkEncoder:
+    """Encodes chunks, most of them without the library's normalizer and pre-tokenizer.
 
-    def __init__(self, path: str, frequent: dict[str, int]):
-        super().__init__(frequent)
-        self.tok, self.frequent = load(path), frequent
+    In Latin-1 both are plain: composing changes nothing, a letter's lower case
+    is one letter, and character classes are settled. Other chunks, and those
+    that may hold a special string, go through the whole library.
+    """
 
-    def __missing__(self, chunk: str) -> int:
-        n = len(self.tok.encode(chunk, add_special_tokens=False).ids)
+    def __init__(self, path: str):
+        self.tok = load(path)
+        self.model = self.tok.model
+        letters = {b: c for c, b in byte_alphabet().items()}
+        self.table = {i: letters[i] for i in range(256)}
+
+    def ids(self, chunk: str) -> list[int]:
+        if not chunk.isascii() and max(chunk) > "\xff" or "<|" in chunk:
+            return self.tok.encode(chunk, add_special_tokens=False).ids
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            pieces = [chunk]
+        elif chunk[-1] in _PLAIN_ENDS and chunk[:-1].isalpha():
+            pieces = [chunk[:-1], chunk[-1]]
+        else:
+            pieces = PRE_TOKEN.findall(chunk)
+        out: list[int] = []
+        for piece in pieces:
+            shown = piece.encode().decode("latin-1").translate(self.table)
+            out.extend([t.id for t in self.model.tokenize(shown)])
+        return out
+
+
+class _Cache(dict):
+    """Chunk -> value in two generations: when the young one is full it becomes the old one, which is asked before computing afresh."""
+
+    def __init__(self, path: str, start: dict):
+        super().__init__(start)
+        self.encoder, self.start, self.old = ChunkEncoder(path), start, {}
+
+    def value(self, chunk: str):
+        raise NotImplementedError
+
+    def __missing__(self, chunk: str):
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.value(chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS + len(self.frequent):
+            if len(self) >= CACHE_CHUNKS + len(self.start):
+                self.old = dict(self)
                 self.clear()
-                self.update(self.frequent)
-            self[chunk] = n
-        return n
+                self.update(self.start)
+            self[chunk] = got
+        return got
 
 
-class ChunkIds(dict):
-    """Chunk -> its ids as packed unsigned 32-bit integers."""
+class ChunkLengths(_Cache):
+    """Chunk -> number of tokens, beginning with a shared table."""
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.tok = load(path)
+    def value(self, chunk: str) -> int:
+        return len(self.encoder.ids(chunk))
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+
+class ChunkIds(_Cache):
+    """Chunk -> its ids as packed unsigned 32-bit integers."""
+
+    def value(self, chunk: str) -> bytes:
+        return array("I", self.encoder.ids(chunk)).tobytes()
 
 
 _IDS: dict[str, ChunkIds] = {}
@@ -88,5 +135,5 @@ _IDS: dict[str, ChunkIds] = {}
 
 def id_cache(path: str) -> ChunkIds:
     if path not in _IDS:
-        _IDS[path] = ChunkIds(path)
+        _IDS[path] = ChunkIds(path, {})
     return _IDS[path]

@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frametide.llm._common import pick, table
-from frametide.llm._words import load, tokenizer_path
+from frametide.llm._words import byte_alphabet, load, tokenizer_path
 
 #: The published pattern of byte-level BPE pre-tokens.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -41,13 +40,6 @@ CACHE_CHARS = 48
 CACHE_PAIRS = 1_000_000
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, the others, in order, for U+0100 onwards."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class ByteBpe:
     """Encoder and decoder of one byte-level BPE file of the tokenizers library."""
 
@@ -78,22 +70,26 @@ class ByteBpe:
                 self.parts[whole], self.made_at[whole] = pair, rank
         by_bytes = {self.token_bytes[i]: i for i in vocab.values()}
         self.by_bytes = by_bytes
+        self.size = [len(t) for t in self.token_bytes]
+        #: Of each token: the longest token that is a proper prefix of it; -1: none.
+        self.shorter = [-1] * size
+        for raw, i in by_bytes.items():
+            for n in range(len(raw) - 1, 0, -1):
+                if raw[:n] in by_bytes:
+                    self.shorter[i] = by_bytes[raw[:n]]
+                    break
         self.automaton = ahocorasick.Automaton()
         for raw, i in by_bytes.items():
-            self.automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
+            self.automaton.add_word(raw.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
+        #: Pre-token -> packed ids, in two generations.
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         #: The decoder's blob, and where each id's bytes start in it.
         self.blob = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in self.token_bytes])]).astype(np.int64)
 
-    @lru_cache(maxsize=200_000)  # noqa: B019  one object a worker
-    def shorter(self, token: int) -> int:
-        """The longest token that is a proper prefix of ``token``; -1: none."""
-        raw = self.token_bytes[token]
-        return next((self.by_bytes[raw[:n]] for n in range(len(raw) - 1, 0, -1) if raw[:n] in self.by_bytes), -1)
-
     def pair_ok(self, left: int, right: int) -> bool:
         """Whether merging the bytes of the two tokens together ends in just these two.
 
@@ -142,41 +138,49 @@ class ByteBpe:
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """The ids of one pre-token."""
-        if raw in self.by_bytes and len(raw) == 1:
-            return [self.by_bytes[raw]]
+        whole = self.by_bytes.get(raw)
+        if whole is not None:  # every token of the vocabulary encodes to itself
+            return [whole]
         n = len(raw)
+        size, shorter, compatible = self.size, self.shorter, self.compatible
         longest = [-1] * n
-        longest_len = [0] * n
-        for end, (token, size) in self.automaton.iter(raw.decode("latin-1")):
-            start = end - size + 1
-            if size > longest_len[start]:
-                longest[start], longest_len[start] = token, size
+        for end, token in self.automaton.iter(raw.decode("latin-1")):
+            start = end - size[token] + 1
+            if longest[start] < 0 or size[token] > size[longest[start]]:
+                longest[start] = token
         alive = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while at < n:
-            end = at + len(self.token_bytes[token])
-            if alive[end] and (not out or self.pair_ok(out[-1], token)):
-                out.append(token)
-                at = end
-                if at < n:
-                    token = longest[at]
-                continue
-            token = self.shorter(token)
+            end = at + size[token]
+            if alive[end]:
+                ok = True if last < 0 else compatible.get((last, token))
+                if ok is None:
+                    ok = self.pair_ok(last, token)
+                if ok:
+                    out.append(token)
+                    at, last = end, token
+                    if at < n:
+                        token = longest[at]
+                    continue
+            token = shorter[token]
             while token < 0:
                 alive[at] = 0
                 token = out.pop()
-                at -= len(self.token_bytes[token])
-                token = self.shorter(token)
+                at -= size[token]
+                token = shorter[token]
+                last = out[-1] if out else -1
         return out
 
     def pack(self, piece: str) -> bytes:
         got = self.cache.get(piece)
         if got is None:
-            got = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+            got = self.old.get(piece)
+            if got is None:
+                got = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
             if len(piece) <= CACHE_CHARS:
                 if len(self.cache) >= CACHE_TOKENS:
-                    self.cache.clear()
+                    self.old, self.cache = self.cache, {}
                 self.cache[piece] = got
         return got
 

@@ -18,33 +18,30 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm._common import SPACES, materialise, pick, shuffle_partitions, skew_join, table
+from frametide.llm._common import SPACES, UID, materialise, pick, shuffle_partitions, skew_join, table
 
 #: Runs that meet in one merge.
 FAN = 4
 
 KEY = ["text_sha256", "check64", "norm_bytes"]
-RUN = "text_sha256 string, check64 long, norm_bytes long, n_rows long, keep_chars long, keep_id long, keep_uid long, n_twins long"
+RUN = "text_sha256 string, check64 long, norm_bytes long, n_rows long, keep_chars long, keep_id long, keep_uid long"
 _DELETE = SPACES.encode()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid = TaskContext.get().partitionId() << 33
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         for text in batch.column("text"):
             raw = text.as_py() or ""
             norm = raw.encode().translate(None, _DELETE)
-            for column, value in zip(out, (len(raw), hashlib.sha256(norm).hexdigest(), xxhash.xxh64_intdigest(norm) - (1 << 63), len(norm), uid)):
+            for column, value in zip(out, (len(raw), hashlib.sha256(norm).hexdigest(), xxhash.xxh64_intdigest(norm) - (1 << 63), len(norm))):
                 column.append(value)
-            uid += 1
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, pa.string() if i == 1 else pa.int64()) for i, c in enumerate(out))],
-            names=["doc_id", "n_chars", "text_sha256", "check64", "norm_bytes", "uid"],
+            [batch.column("doc_id"), batch.column(UID), *(pa.array(c, pa.string() if i == 1 else pa.int64()) for i, c in enumerate(out))],
+            names=["doc_id", "uid", "n_chars", "text_sha256", "check64", "norm_bytes"],
         )
 
 
@@ -54,8 +51,9 @@ def digest_table(docs: DataFrame) -> DataFrame:
     ``uid`` numbers rows, so that repeated rows can be told apart; it is only
     stable once the table is written.
     """
-    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-        _digests, "doc_id long, n_chars long, text_sha256 string, check64 long, norm_bytes long, uid long"
+    numbered = pick(docs, "doc_id", "text", UID) if UID in docs.columns else pick(docs, "doc_id", "text").withColumn(UID, F.monotonically_increasing_id())
+    return numbered.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
+        _digests, "doc_id long, uid long, n_chars long, text_sha256 string, check64 long, norm_bytes long"
     )
 
 
@@ -76,34 +74,30 @@ def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     Rows of one SHA-256 stand together; those whose second hash or length
     differ are kept apart, so a digest collision cannot merge two texts.
     """
-    names = ["text_sha256", "check64", "norm_bytes", "n_rows", "keep_chars", "keep_id", "keep_uid", "n_twins"]
-    types = [pa.string(), *[pa.int64()] * 7]
+    names = ["text_sha256", "check64", "norm_bytes", "n_rows", "keep_chars", "keep_id", "keep_uid"]
+    types = [pa.string(), *[pa.int64()] * 6]
     open_sha: str | None = None
     group: dict[tuple, list] = {}
     out: list[tuple] = []
 
     def close() -> None:
-        out.extend((*key, n, *best, twins) for key, (n, best, twins) in group.items())
+        out.extend((*key, n, *best) for key, (n, best) in group.items())
         group.clear()
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     for batch in batches:
-        for sha, check, size, n, chars, doc, uid, twins in zip(*(batch.column(c).to_pylist() for c in names)):
+        for sha, check, size, n, chars, doc, uid in zip(*(batch.column(c).to_pylist() for c in names)):
             if sha != open_sha:
                 close()
                 open_sha = sha
             got = group.get(key := (sha, check, size))
             if got is None:
-                group[key] = [n, (chars, doc, uid), twins]
+                group[key] = [n, (chars, doc, uid)]
             else:
-                best = _better(got[1], (chars, doc, uid))
-                if got[1][:2] == (chars, doc):
-                    twins += got[2]
-                elif best == got[1]:
-                    twins = got[2]
-                group[key] = [got[0] + n, best, twins]
+                got[0] += n
+                got[1] = _better(got[1], (chars, doc, uid))
         if len(out) >= 4096:
             yield batch_of(out)
             out.clear()
@@ -113,14 +107,14 @@ def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def merge_runs(digests: DataFrame, fan: int = FAN) -> DataFrame:
-    """One row for each distinct text: ``KEY``, n_rows, keep_chars, keep_id, keep_uid, n_twins (rows that tie with the kept one in length and doc_id)."""
+    """One row for each distinct text: ``KEY``, n_rows, keep_chars, keep_id, keep_uid."""
     spark = digests.sparkSession
     rounds = 1
     while fan**rounds < shuffle_partitions(spark):
         rounds += 1
     slots = fan**rounds
     runs = (
-        digests.select(*KEY, F.lit(1).cast("long").alias("n_rows"), F.col("n_chars").alias("keep_chars"), F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("n_twins"))
+        digests.select(*KEY, F.lit(1).cast("long").alias("n_rows"), F.col("n_chars").alias("keep_chars"), F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"))
         .sortWithinPartitions("text_sha256")
         .mapInArrow(_merge_sorted, RUN)
         .withColumn("slot", F.spark_partition_id() % slots)
@@ -147,40 +141,31 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     counts as empty. Of equal texts the row with the most code points stays, of
     those the one with the smallest doc_id (a null doc_id is larger than any);
     of rows that repeat wholly, exactly one. Columns: doc_id, keep_id,
-    group_size, kept, text_sha256, n_chars, n_twins (rows that tie with the kept
-    one in length and doc_id). An empty table gives an empty one;
+    group_size, kept, text_sha256, n_chars, uid (the row's number; that of
+    column ``UID`` if ``docs`` has it). An empty table gives an empty one;
     columns other than doc_id and text are ignored.
     """
     digests = materialise(digest_table(docs), "digests")
     groups = materialise(merge_runs(digests), "groups")
-    joined = skew_join(digests, groups.withColumn("group_size", F.col("n_rows")), KEY, "n_rows", digests.count())
+    joined = skew_join(digests, groups.withColumn("group_size", F.col("n_rows")), KEY, "n_rows", digests.count(), ["uid"])
     return joined.select(
-        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "n_chars", "n_twins"
+        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "n_chars", "uid"
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
-    Rows are looked up by doc_id, digest and length. Of rows that agree in all
-    three, one is kept; it may take its other columns from any of them.
+    The rows are numbered once, in a written copy, so that rows which repeat
+    wholly can be told apart.
     """
-    decided = exact_dedup(docs).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_chars"), F.col("n_twins").alias("_twins")
-    )
-    kept = materialise(decided, "kept")
-    text = F.coalesce("text", F.lit(""))
-    sha = F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256)
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")) & (F.length(text) == F.col("_chars")), "inner")
-    lone = found.filter("_twins = 1").select(*docs.columns)
-    if kept.filter("_twins > 1").isEmpty():
-        return lone
-    twins = found.filter("_twins > 1").groupBy("_id", "_sha").agg(*[F.first(c).alias(c) for c in docs.columns])
-    return lone.unionByName(twins.select(*docs.columns))
+    numbered = materialise(docs.withColumn(UID, F.monotonically_increasing_id()), "numbered")
+    kept = exact_dedup(numbered).filter("kept").select(F.col("uid").alias(UID))
+    return numbered.join(kept, UID, "left_semi").select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_twins")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("uid")
 
 
 SQL = r"""
