@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filter_arrow(docs: DataFrame, run: Callable) -> DataFrame:
+    """The rows that ``run``, a function of record batches, passes on, whatever the columns' names."""
+    cols = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
+    return plain.mapInArrow(run, plain.schema).toDF(*cols)
+
+
+def keep_rows(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``decide`` keeps, with all their columns, whatever their names.
+
+    Rows are numbered once, in a written copy, so that rows which repeat wholly
+    can be told apart. ``decide`` gets doc_id, text and ``UID`` and returns the
+    ``UID`` of each row that stays.
+    """
+    cols = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))]).withColumn(UID, F.monotonically_increasing_id())
+    plain = materialise(plain, "numbered")
+    view = plain.select(*[F.col(f"_c{cols.index(n)}").alias(n) for n in ("doc_id", "text")], UID)
+    return plain.join(decide(view).select(UID), UID, "left_semi").drop(UID).toDF(*cols)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

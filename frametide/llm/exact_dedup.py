@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm._common import SPACES, UID, materialise, pick, shuffle_partitions, skew_join, table
+from frametide.llm._common import SPACES, UID, keep_rows, materialise, pick, shuffle_partitions, skew_join, table
 
 #: Runs that meet in one merge.
 FAN = 4
@@ -154,14 +154,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
-
-    The rows are numbered once, in a written copy, so that rows which repeat
-    wholly can be told apart.
-    """
-    numbered = materialise(docs.withColumn(UID, F.monotonically_increasing_id()), "numbered")
-    kept = exact_dedup(numbered).filter("kept").select(F.col("uid").alias(UID))
-    return numbered.join(kept, UID, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
+    return keep_rows(docs, lambda rows: exact_dedup(rows).filter("kept").select(F.col("uid").alias(UID)))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm._common import pick, table
+from frametide.llm._common import filter_arrow, pick, table
 
 WINDOW = 5
 _SYMBOLS = b"#*$%&|<>"
@@ -142,7 +142,6 @@ def quality_rules(docs: DataFrame, policy: str = POLICY) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     """The rows of ``docs`` that pass a policy, with all their columns, in one pass without a shuffle."""
-    schema = docs.schema
     text_at = docs.columns.index("text")
     checks = [compile(c.replace(" = ", " == "), r, "eval") for r, c in RULES.items() if r in {*POLICIES["base"], *POLICIES[policy]}]
 
@@ -154,7 +153,7 @@ def drop_low_quality(docs: DataFrame, policy: str = POLICY) -> DataFrame:
                 keep.append(not any(eval(c, {}, got) for c in checks))  # noqa: S307
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return filter_arrow(docs, run)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm._common import UID, hex_unsigned, materialise, pick, skew_join, table
+from frametide.llm._common import UID, hex_unsigned, keep_rows, materialise, pick, skew_join, table
 from frametide.llm._components import components
 
 SHINGLE = 4
@@ -255,14 +255,8 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of :func:`simhash_groups`, with all its columns.
-
-    The rows are numbered once, in a written copy, so that rows which repeat
-    wholly can be told apart.
-    """
-    numbered = materialise(docs.withColumn(UID, F.monotonically_increasing_id()), "numbered")
-    kept = simhash_groups(numbered).filter("kept").select(UID)
-    return numbered.join(kept, UID, "left_semi").select(*docs.columns)
+    """One row of each group of :func:`simhash_groups`, with all its columns."""
+    return keep_rows(docs, lambda rows: simhash_groups(rows).filter("kept"))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm._common import materialise, pick, table
+from frametide.llm._common import filter_arrow, materialise, pick, table
 from frametide.llm._words import chunks
 
 GRADES = 4
@@ -240,7 +240,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't toxic, with all their columns; the model is trained on those of them that are labelled."""
     model = train(docs, labels, **options)
-    return docs.mapInArrow(_grader(docs.sparkSession, model, None, docs.columns.index("text")), docs.schema)
+    return filter_arrow(docs, _grader(docs.sparkSession, model, None, docs.columns.index("text")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
