@@ -202,13 +202,13 @@ FROM (SELECT * FROM fr WHERE event_type = 'click') c ASOF JOIN (SELECT * FROM fr
     "diverse_topk": """WITH RECURSIVE g AS (
   SELECT label, list(vec_id ORDER BY vec_id) AS ids, list(embedding::DOUBLE[] ORDER BY vec_id) AS vecs, list((vec_id * 7919 % 1000 / 100.0)::DOUBLE ORDER BY vec_id) AS first, count(*) AS n FROM embeddings GROUP BY 1
 ), f AS (
-  SELECT label, 0 AS pick, first AS scores, 0::BIGINT AS at, 0.0::DOUBLE AS score, []::BIGINT[] AS taken FROM g
+  SELECT label, 0 AS pick, first AS scores, 0::BIGINT AS place, 0.0::DOUBLE AS score, []::BIGINT[] AS taken FROM g
   UNION ALL
   SELECT f.label, pick + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i = pos THEN '-inf'::DOUBLE ELSE scores[i] - 50 * exp(-list_distance(vecs[i], vecs[pos])) END), pos, scores[pos], list_append(taken, pos)
   FROM f JOIN g USING (label), LATERAL (SELECT list_position(scores, list_max(scores))::BIGINT AS pos) WHERE pick < least(8, n)
 ), l AS (SELECT label, arg_max(taken, pick) AS all_taken, max(pick) AS last FROM f GROUP BY 1),
 c AS (SELECT g.label, list_position(first, list_min(first)) AS calm, list_min(first) AS low, ids, n, all_taken, last FROM g JOIN l USING (label))
-SELECT label, ids[CASE WHEN pick = last AND n > 8 AND NOT list_contains(all_taken, calm) THEN calm ELSE at END] AS vec_id, pick,
+SELECT label, ids[CASE WHEN pick = last AND n > 8 AND NOT list_contains(all_taken, calm) THEN calm ELSE place END] AS vec_id, pick,
        round(CASE WHEN pick = last AND n > 8 AND NOT list_contains(all_taken, calm) THEN low ELSE score END, 6) AS score FROM f JOIN c USING (label) WHERE pick > 0""",
     "band_compare": f"""{_USER}, u AS (SELECT session_id, idx, unnest(['reaction_time_ms', 'jitter_ratio', 'overshoot_count', 'path_efficiency']) AS metric, unnest([rt, jr, over_::DOUBLE, eff]) AS value,
   unnest([180.0, 0.05, 0, 0.85]::DOUBLE[]) AS lo, unnest([250.0, 0.15, 1, 1.0]::DOUBLE[]) AS hi FROM um)
@@ -233,7 +233,7 @@ SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS content_sha256 FRO
 FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2 HAVING count(*) >= 3""",
     "token_estimate": "SELECT doc_id, CAST(length(coalesce(text, '')) // 4 + length(coalesce(lang, '')) // 4 AS BIGINT) AS tokens FROM documents",
     "image_tokens": "SELECT p_partkey, CAST(floor(ceil(p_size * 20 / 28.0) * ceil(p_size * 11 / 28.0) * 1.15::DOUBLE) AS BIGINT) AS tokens FROM part",
-    "price_join": f"WITH {_REQ} SELECT conv_id, turn, rate_in, round(usd, 6) AS usd, printf('~$%.3f · %d clips · %s', usd, 8, model) AS label FROM us",
+    "price_join": f"WITH {_REQ} SELECT conv_id, turn, rate_in, round(usd, 6) AS usd, printf('~$%.3f · %d clips · %s', round(usd, 3), 8, model) AS label FROM us",
     "budget_admission": f"""WITH RECURSIVE {_REQ}, o AS (SELECT conv_id, turn, conv_id % 7 AS b, round(usd, 6) AS usd, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id, turn) AS k FROM us),
 f AS (SELECT DISTINCT b, 0::BIGINT AS k, -1::BIGINT AS conv_id, -1::BIGINT AS turn, 0.0::DOUBLE AS month, 0.0::DOUBLE AS sess, NULL::BOOLEAN AS admitted, NULL::VARCHAR AS reason, 0.0::DOUBLE AS spent_before FROM o
   UNION ALL
@@ -241,11 +241,11 @@ f AS (SELECT DISTINCT b, 0::BIGINT AS k, -1::BIGINT AS conv_id, -1::BIGINT AS tu
   FROM f JOIN o ON o.b = f.b AND o.k = f.k + 1, LATERAL (SELECT CASE WHEN o.conv_id = f.conv_id THEN sess ELSE 0 END AS cur) x,
   LATERAL (SELECT CASE WHEN cur + usd > 0.5 THEN 'session limit' WHEN month + usd > 3.0 THEN 'month limit' END AS why) y)
 SELECT conv_id, turn, admitted, reason, round(spent_before, 6) AS spent_before FROM f WHERE k > 0""",
-    "token_bucket": f"""WITH RECURSIVE {_REQ}, o AS (SELECT conv_id, turn, conv_id % 7 AS b, row_number() OVER w AS k, (row_number() OVER w * 5 + tok % 4)::DOUBLE AS at FROM us WINDOW w AS (PARTITION BY conv_id % 7 ORDER BY conv_id, turn)),
+    "token_bucket": f"""WITH RECURSIVE {_REQ}, o AS (SELECT conv_id, turn, conv_id % 7 AS b, row_number() OVER w AS k, (row_number() OVER w * 5 + tok % 4)::DOUBLE AS due FROM us WINDOW w AS (PARTITION BY conv_id % 7 ORDER BY conv_id, turn)),
 f AS (SELECT DISTINCT b, 0::BIGINT AS k, -1::BIGINT AS conv_id, -1::BIGINT AS turn, NULL::DOUBLE AS now, 3.0::DOUBLE AS tokens, 0.0::DOUBLE AS wait_s FROM o
   UNION ALL
-  SELECT f.b, o.k, o.conv_id, o.turn, start + wait, have + wait * (8.0::DOUBLE / 60) - 1, start + wait - at
-  FROM f JOIN o ON o.b = f.b AND o.k = f.k + 1, LATERAL (SELECT CASE WHEN now IS NULL THEN at ELSE greatest(at, now) END AS start) x,
+  SELECT f.b, o.k, o.conv_id, o.turn, start + wait, have + wait * (8.0::DOUBLE / 60) - 1, start + wait - due
+  FROM f JOIN o ON o.b = f.b AND o.k = f.k + 1, LATERAL (SELECT CASE WHEN now IS NULL THEN due ELSE greatest(due, now) END AS start) x,
   LATERAL (SELECT CASE WHEN now IS NULL THEN 3.0 ELSE least(3.0, tokens + (start - now) * (8.0::DOUBLE / 60)) END::DOUBLE AS have) y, LATERAL (SELECT CASE WHEN have >= 1 THEN 0.0 ELSE (1 - have) / (8.0::DOUBLE / 60) END::DOUBLE AS wait) z)
 SELECT conv_id, turn, round(wait_s, 4) AS wait_s, round(tokens, 4) AS tokens_left FROM f WHERE k > 0""",
     "cache_key": f"WITH {_KEYED} SELECT doc_id, key FROM kd",

@@ -432,7 +432,7 @@ def image_tokens(spark, d):
 @query
 def price_join(spark, d):
     p = cost.price_requests(_requests(spark, d), _prices(spark))
-    return p.select("conv_id", "turn", "rate_in", r6("usd").alias("usd"), fn.cost_label("usd", F.lit(8), "model").alias("label"))
+    return p.select("conv_id", "turn", "rate_in", r6("usd").alias("usd"), fn.cost_label(F.round("usd", 3), F.lit(8), "model").alias("label"))
 
 
 @query
