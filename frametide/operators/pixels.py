@@ -7,11 +7,14 @@ engine works on the rows that come out.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def grey(pixels: bytes, w: int, h: int) -> np.ndarray:
@@ -117,19 +120,198 @@ def shift_between(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None)
     return float(dx - w if dx > w / 2 else dx), float(dy - h if dy > h / 2 else dy), float(peak.max())
 
 
-def motion_estimates(frames: DataFrame, least_peak: float = 0.03) -> DataFrame:
+def world_mask(h: int, w: int, excluded: list[tuple[float, float, float, float]], centre: float = 0.15) -> np.ndarray:
+    """Where motion may be measured: outside the screen furniture and the middle, where the crosshair is."""
+    mask = np.ones((h, w))
+    for x, y, dx, dy in [*excluded, (0.5 - centre / 2, 0.5 - centre / 2, centre, centre)]:
+        mask[int(y * h) : int((y + dy) * h) + 1, int(x * w) : int((x + dx) * w) + 1] = 0
+    return mask
+
+
+def motion_estimates(frames: DataFrame, excluded: list[tuple[float, float, float, float]] | None = None, least_peak: float = 0.03) -> DataFrame:
     """clip_id, i, dx, dy, ok: the camera's shift since the frame before, opposite to the picture's.
 
-    Each session's frames are taken in order; one is kept at a time.
+    ``excluded``: regions that don't move with the world; None measures
+    everywhere. Pairs of frames are made by a window, so a session's frames are
+    spread over tasks and no task holds a recording.
     """
+    w_ = Window.partitionBy("session_id").orderBy("frame")
+    pairs = frames.select("session_id", "frame", "w", "h", "pixels", F.lag("pixels").over(w_).alias("before"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s, f, w, h, px, last in zip(pdf["session_id"], pdf["frame"], pdf["w"], pdf["h"], pdf["pixels"], pdf["before"]):
+                dx, dy, peak = 0.0, 0.0, 1.0
+                if last is not None:
+                    mask = world_mask(h, w, excluded) if excluded is not None else None
+                    dx, dy, peak = shift_between(grey(last, w, h), grey(px, w, h), mask)
+                out.append((str(s), f, -dx, -dy, peak >= least_peak))
+            yield pd.DataFrame(out, columns=["clip_id", "i", "dx", "dy", "ok"])
+
+    return pairs.mapInPandas(run, "clip_id string, i int, dx double, dy double, ok boolean")
+
+
+def otsu(image: np.ndarray) -> int:
+    """The grey level that parts an image best in two."""
+    counts = np.bincount(image.ravel(), minlength=256).astype(float)
+    below, levels = np.cumsum(counts), np.cumsum(counts * np.arange(256))
+    above = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = levels / below - (levels[-1] - levels) / above
+        return int(np.nan_to_num(below * above * gap**2).argmax())
+
+
+def components(binary: np.ndarray) -> list[np.ndarray]:
+    """The coordinates (rows of y, x) of each group of set pixels that touch, diagonals included."""
+    label = np.where(binary, np.arange(1, binary.size + 1).reshape(binary.shape), 0)
+    while True:
+        wide = np.pad(label, 1)
+        best = np.max([wide[dy : dy + label.shape[0], dx : dx + label.shape[1]] for dy in range(3) for dx in range(3)], axis=0)
+        best = np.where(binary, best, 0)
+        if np.array_equal(best, label):
+            break
+        label = best
+    ys, xs = np.nonzero(binary)
+    by = label[ys, xs]
+    order = np.argsort(by, kind="stable")
+    cuts = np.flatnonzero(np.diff(by[order])) + 1
+    return [np.column_stack([ys[g], xs[g]]) for g in np.split(order, cuts)] if len(order) else []
+
+
+def stretch(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Nearest-pixel resize."""
+    ys, xs = (np.arange(h) * image.shape[0] // h), (np.arange(w) * image.shape[1] // w)
+    return image[np.ix_(ys, xs)].astype(float)
+
+
+def glyph(image: np.ndarray) -> np.ndarray:
+    """A glyph cut to its set pixels and made 24 by 16."""
+    ys, xs = np.nonzero(image)
+    return stretch(image[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1] if len(ys) else image, 24, 16)
+
+
+def classify(image: np.ndarray, templates: dict[int, np.ndarray]) -> tuple[int, float]:
+    """The digit whose template correlates best with a glyph, the lowest of ties, and how well."""
+    a = glyph(image)
+    a = a - a.mean()
+    best = (-1, -1.0)
+    for digit in sorted(templates):
+        b = templates[digit] - templates[digit].mean()
+        scale = np.sqrt((a**2).sum() * (b**2).sum())
+        score = float((a * b).sum() / scale) if scale else 0.0
+        if score > best[1]:
+            best = (digit, score)
+    return best
+
+
+def read_number(image: np.ndarray, templates: dict[int, np.ndarray], least: float = 0.45) -> tuple[int | None, float]:
+    """The number in a grey image, all digits or none."""
+    bad = set(templates) - set(range(10))
+    if bad:
+        raise ValueError(f"templates for {sorted(bad)}: only digits 0 to 9 have one")
+    binary = image > otsu(image)
+    if binary.mean() > 0.5:
+        binary = ~binary
+    h, w = binary.shape
+    boxes = []
+    for points in components(binary):
+        (y0, x0), (y1, x1) = points.min(axis=0), points.max(axis=0) + 1
+        if len(points) > 12 and x1 - x0 < 0.9 * w and y1 - y0 < 0.9 * h:
+            boxes.append((x0, y0, x1, y1))
+    tallest = max((b[3] - b[1] for b in boxes), default=0)
+    if not boxes or tallest < 0.12 * h:
+        return None, 0.0
+    found = [classify(binary[b[1] : b[3], b[0] : b[2]], templates) for b in sorted(boxes) if b[3] - b[1] >= 0.55 * tallest]
+    if min(score for _, score in found) < least:
+        return None, 0.0
+    return int("".join(str(d) for d, _ in found)), float(np.mean([score for _, score in found]))
+
+
+def counter_readings(frames: DataFrame, roi: tuple[float, float, float, float], templates: dict[int, np.ndarray]) -> DataFrame:
+    """session_id, frame, value, confidence: the counter in the region, null where it can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [read_number(crop(grey(px, w, h), roi), templates) for w, h, px in zip(pdf["w"], pdf["h"], pdf["pixels"])]
+            yield pd.DataFrame({"session_id": pdf["session_id"], "frame": pdf["frame"], "value": pd.array([v for v, _ in got], "Int32"), "confidence": [c for _, c in got]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values("frame"), None, []
-        for i, (w, h, px) in enumerate(zip(pdf["w"], pdf["h"], pdf["pixels"])):
-            now = grey(px, w, h)
-            dx, dy, peak = shift_between(last, now) if last is not None else (0.0, 0.0, 1.0)
-            out.append((str(pdf["session_id"].iloc[0]), i, -dx, -dy, peak >= least_peak))
-            last = now
-        return pd.DataFrame(out, columns=["clip_id", "i", "dx", "dy", "ok"])
+    return frames.select("session_id", "frame", "w", "h", "pixels").mapInPandas(run, "session_id string, frame int, value int, confidence double")
+
+
+def hsv(image: np.ndarray) -> np.ndarray:
+    """Blue, green, red bytes as hue (0 to 179), saturation and value (0 to 255)."""
+    b, g, r = (image[..., i].astype(float) for i in range(3))
+    top, low = image.max(axis=-1).astype(float), image.min(axis=-1).astype(float)
+    span = np.where(top > low, top - low, 1)
+    hue = np.select([top == r, top == g], [60 * (g - b) / span, 120 + 60 * (b - r) / span], 240 + 60 * (r - g) / span)
+    hue = np.where(top > low, hue % 360, 0) / 2
+    return np.stack([np.rint(hue) % 180, np.rint(np.where(top > 0, 255 * (top - low) / np.maximum(top, 1), 0)), top], axis=-1)
+
+
+def targets(image: np.ndarray, lower: list[int], upper: list[int], min_area: int = 60) -> list[tuple[float, float, float]]:
+    """Coloured targets as (x, y, area in pixels), the largest first; specks under three pixels wide are opened away."""
+    colours = hsv(image)
+    mask = ((colours >= lower) & (colours <= upper)).all(axis=-1)
+    around = lambda m, edge: np.lib.stride_tricks.sliding_window_view(np.pad(m, 1, constant_values=edge), (3, 3))
+    mask = around(around(mask, True).all(axis=(2, 3)), False).any(axis=(2, 3))
+    found = [(float(p[:, 1].mean()), float(p[:, 0].mean()), float(len(p))) for p in components(mask) if len(p) >= min_area]
+    return sorted(found, key=lambda t: -t[2])
+
+
+def target_points(frames: DataFrame, lower: list[int], upper: list[int], min_area: int = 60) -> DataFrame:
+    """session_id, frame, cx, cy, area: a row a target."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s, f, w, h, px in zip(pdf["session_id"], pdf["frame"], pdf["w"], pdf["h"], pdf["pixels"]):
+                out += [(s, f, *t) for t in targets(np.frombuffer(px, np.uint8).reshape(h, w, 3), lower, upper, min_area)]
+            yield pd.DataFrame(out, columns=["session_id", "frame", "cx", "cy", "area"])
+
+    return frames.select("session_id", "frame", "w", "h", "pixels").mapInPandas(run, "session_id string, frame int, cx double, cy double, area double")
+
+
+def target_counts(frames: DataFrame, lower: list[int], upper: list[int], min_area: int = 60) -> DataFrame:
+    """session_id, frame, n_targets for every frame, 0 included."""
+    found = target_points(frames, lower, upper, min_area).groupBy("session_id", "frame").agg(F.count("*").cast("int").alias("n"))
+    return frames.select("session_id", "frame").join(found, ["session_id", "frame"], "left").select("session_id", "frame", F.coalesce("n", F.lit(0)).alias("n_targets"))
+
+
+def png(image: np.ndarray) -> bytes:
+    """A grey or colour (red, green, blue) image as PNG."""
+    h, w = image.shape[:2]
+    colour = 2 if image.ndim == 3 else 0
+    raw = b"".join(b"\0" + image[y].astype(np.uint8).tobytes() for y in range(h))
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def draw_path(image: np.ndarray, xs: np.ndarray, ys: np.ndarray, turns: set[int]) -> np.ndarray:
+    """The picture with a path drawn over it, its turning points as small squares."""
+    out = np.stack([image] * 3, axis=-1) if image.ndim == 2 else image.copy()
+    h, w = out.shape[:2]
+    for k in range(1, len(xs)):
+        n = int(max(abs(xs[k] - xs[k - 1]), abs(ys[k] - ys[k - 1]))) + 1
+        for x, y in zip(np.linspace(xs[k - 1], xs[k], n + 1), np.linspace(ys[k - 1], ys[k], n + 1)):
+            if 0 <= int(y) < h and 0 <= int(x) < w:
+                out[int(y), int(x)] = (255, 210, 0)
+        if k in turns:
+            y, x = int(ys[k]), int(xs[k])
+            out[max(0, y - 2) : max(0, y + 3), max(0, x - 2) : max(0, x + 3)] = (255, 40, 40)
+    return out
+
+
+def overlays(clips: DataFrame, fov_degrees: float) -> DataFrame:
+    """clip_id, image (PNG): a clip's path over one of its frames. ``clips``: clip_id, w, h, pixels, yaw_deg and pitch_deg (arrays), turns (array of samples)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for c, w, h, px, yaw, pitch, turns in zip(*(pdf[n] for n in ("clip_id", "w", "h", "pixels", "yaw_deg", "pitch_deg", "turns"))):
+                focal = w / 2 / np.tan(np.radians(fov_degrees) / 2)
+                at = lambda deg, middle, focal=focal: middle + focal * np.tan(np.radians(np.asarray(deg, float)))
+                out.append((c, png(draw_path(grey(px, w, h), at(yaw, w / 2), at(pitch, h / 2), set(map(int, turns))))))
+            yield pd.DataFrame(out, columns=["clip_id", "image"])
 
-    return frames.groupBy("session_id").applyInPandas(run, "clip_id string, i int, dx double, dy double, ok boolean")
+    return clips.mapInPandas(run, "clip_id string, image binary")

@@ -277,6 +277,9 @@ SELECT session_id AS clip_id, frame, CAST(floor((1 - CASE WHEN hi > lo THEN (val
 SELECT CAST(i AS INTEGER) AS i, round(46 * (10 * power(a, 3) - 15 * power(a, 4) + 6 * power(a, 5)) - 6 * (10 * power(b, 3) - 15 * power(b, 4) + 6 * power(b, 5)), 6) AS yaw_deg FROM u""",
 }
 
+SQL["stream_counter_decrement"] = SQL["counter_decrement"]
+SQL["stream_rising_edge"] = SQL["rising_edge"]
+
 _WELCH = """, s0 AS (SELECT clip_id, i, speed AS x FROM sp){prep}, s1 AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS n FROM {src}),
 s2 AS (SELECT *, least(n, {seg}) AS len, least(n, {seg}) - least(n, {seg}) // 2 AS hop FROM s1),
 s3 AS (SELECT *, unnest(range(0, (n - len) // hop + 1)) AS seg FROM s2),

@@ -7,14 +7,15 @@ and skip frames at or before the last one seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from frametide.operators.detect import HISTORY, HIT_SCORE, MATCH_BITS, MAX_STEP, PERSISTENCE
+from frametide.operators.detect import HISTORY, HIT_SCORE, MATCH_BITS, MAX_STEP, PERSISTENCE, SPAWN_FRAMES
 
 
 def session_engagements(events: DataFrame, at: str, gap: str, *, delay: str = "0 seconds") -> DataFrame:
@@ -110,6 +111,55 @@ def stream_budget(requests: DataFrame, limit_usd: float) -> DataFrame:
     return _fold("session_id long, frame int, usd double, admitted boolean", "frame long, spent double", (-1, 0.0), step)(requests)
 
 
+def stream_target_spawns(counts: DataFrame, hold: int = SPAWN_FRAMES) -> DataFrame:
+    """Spawns from a stream of session_id, frame, n_targets: session_id, frame, n_targets.
+
+    A frame is decided once ``hold`` more have come, so output lags by that much.
+    A session's plausibility gate needs all of it: apply it to the result.
+    """
+
+    def step(now: tuple, row) -> tuple[tuple, list]:
+        _, confirmed, frames, counts_ = now
+        frames, counts_ = [*frames, int(row.frame)], [*counts_, int(row.n_targets)]
+        found = []
+        if len(counts_) > hold:
+            count, rises = counts_[0], counts_[0] > confirmed and min(counts_[:hold]) >= counts_[0]
+            if rises:
+                found.append((frames[0], count))
+            if rises or count < confirmed:
+                confirmed = count
+            frames, counts_ = frames[1:], counts_[1:]
+        return (now[0], confirmed, frames, counts_), found
+
+    return _fold("session_id long, frame int, n_targets int", "frame long, confirmed int, frames array<int>, counts array<int>", (-1, 0, [], []), step)(counts)
+
+
+def stream_token_bucket(arrivals: DataFrame, rate: float, burst: float) -> DataFrame:
+    """Waits in a stream of session_id, frame (order), at (seconds): session_id, frame, wait_s."""
+
+    def step(now: tuple, row) -> tuple[tuple, list]:
+        start = row.at if now[1] is None else max(row.at, now[1])
+        have = burst if now[1] is None else min(burst, now[2] + (start - now[1]) * rate)
+        wait = 0.0 if have >= 1 else (1 - have) / rate
+        return (now[0], float(start + wait), float(have + wait * rate - 1)), [(int(row.frame), float(start + wait - row.at))]
+
+    return _fold("session_id long, frame int, wait_s double", "frame long, now double, tokens double", (-1, None, burst), step)(arrivals)
+
+
+def through_stream(batch: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Runs a streaming transformation over a table's rows and returns what it appended.
+
+    The rows are written to ``folder``, a place that all executors share, read
+    back as a stream until all are consumed, and the sink's files are read.
+    """
+    spark = batch.sparkSession
+    at = f"{folder.rstrip('/')}/frametide-stream-{uuid.uuid4().hex}"
+    batch.write.parquet(f"{at}/in")
+    out = transform(spark.readStream.schema(batch.schema).parquet(f"{at}/in"))
+    out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
 def once_by_key(requests: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     """Each key's first request within the watermark."""
     return requests.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
