@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frametide.operators import compose, detect, metrics, records, select, spectral, traces
+from frametide.operators import compose, metrics, records, select, spectral, traces
+from frametide.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -43,13 +44,14 @@ def measure(groups: DataFrame, motion: DataFrame, s: Settings) -> DataFrame:
     """Engagements with every metric of their window's trace. ``motion``: clip_id (the session), i (the frame), dx, dy, ok.
 
     A window's trace starts anew at its first frame: offsets are accumulated
-    inside the window only.
+    inside the window only. Seven metrics read the trace: it is written once.
     """
-    keyed = groups.withColumn("key", F.concat_ws(":", F.col("session_id").cast("string"), "lo"))
+    keyed = written(groups.withColumn("key", F.concat_ws(":", F.col("session_id").cast("string"), "lo")), "groups")
     cut = motion.withColumnRenamed("clip_id", "session_id").join(keyed.select("session_id", "key", "lo", "hi"), "session_id").filter((F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")))
     zero = lambda c: F.when(F.col("i") > F.col("lo"), F.col(c)).otherwise(0.0).alias(c)
     clips = cut.select(F.col("key").alias("clip_id"), (F.col("i") - F.col("lo")).alias("i"), zero("dx"), zero("dy"), "ok")
-    trace = traces.speed(traces.to_trace(clips, s.width, s.fov_degrees, s.fps), s.fps)
+    clips = written(clips, "clips")
+    trace = written(traces.speed(traces.to_trace(clips, s.width, s.fov_degrees, s.fps), s.fps), "trace")
     size = F.col("hi") - F.col("lo")
     shots = keyed.select(F.col("key").alias("clip_id"), F.coalesce(F.col("first_shot") - F.col("lo"), size - 1).alias("shot_idx"))
     signal = trace.select("clip_id", "i", F.col("speed_dps").alias("x"))
@@ -83,7 +85,7 @@ def measure(groups: DataFrame, motion: DataFrame, s: Settings) -> DataFrame:
 def candidates(events: DataFrame, lengths: DataFrame, motion: DataFrame, s: Settings) -> DataFrame:
     """Every engagement, measured, labelled and scored."""
     groups = compose.merge_windows(compose.engagements(events, lengths, s.fps))
-    scored = select.coachability(measure(groups, motion, s))
+    scored = written(select.coachability(measure(groups, motion, s)), "scored")
     return numbered(scored, "idx", "lo", "hi").withColumn("features", select.review_features())
 
 
