@@ -1,18 +1,19 @@
 """Shared plumbing of the training-data operators.
 
-Nothing outside this subpackage imports it.
+Nothing outside this subpackage imports it. ``materialise`` writes a table to
+the folder that ``spark.checkpoint.dir`` names and reads it back: what follows
+survives lost executors without computing it again.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frametide.sources.scratch import written as materialise
+
 #: ASCII white space, the separators of every word rule in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -38,31 +39,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{cols.index(n)}").alias(n) for n in names])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where that setting is unset (tests, local mode) is a folder made here.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: what follows survives lost executors without computing
-    ``df`` again. The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/frametide-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filter_arrow(docs: DataFrame, run: Callable) -> DataFrame:
     """The rows that ``run``, a function of record batches, passes on, whatever the columns' names."""
     cols = docs.columns

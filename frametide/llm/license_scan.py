@@ -74,8 +74,7 @@ def anchors_of(template: Template, df: dict[str, int]) -> list[tuple[str, int]]:
     A base phrase has one, so no place of it can be missed. Others are chosen
     from the key phrase, which has to stand whole in any match.
     """
-    words, key = template.words.split(), template.key.split()
-    at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+    key, at = template.key.split(), _key_at(template)
     places = {w: at + i for i, w in reversed(list(enumerate(key)))}
     ranked = sorted(places.items(), key=lambda x: (df.get(x[0], 0), x[0]))
     return ranked[: 1 if template.base else ANCHORS]
@@ -88,8 +87,7 @@ def _strings(words: list[str]) -> Column:
 def _matches(template: Template, anchors: list[tuple[str, int]]) -> Column:
     """Where a template begins in a file: array of 1-based places (of ``words``), from the hits ``hits`` (0-based)."""
     lead, lead_at = anchors[0]
-    words, key = template.words.split(), template.key.split()
-    key_at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+    key, key_at = template.key.split(), _key_at(template)
     array = F.col("words")
 
     def stands(start: Column) -> Column:
@@ -157,5 +155,39 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
     )
 
 
+def _key_at(template: Template) -> int:
+    words, key = template.words.split(), template.key.split()
+    return next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+
+
+def sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
+    """The scan as DuckDB SQL. Anchors lie in the key phrase, so where that stands whole they agree."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+    rows = ",\n    ".join(f"('{t.label}', {quoted(t.words)}, {quoted(t.key)}, {_key_at(t)}, {str(t.base).lower()})" for t in templates)
+    return rf"""
+WITH t(label, tw, tk, key_at, base) AS (VALUES
+    {rows}
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words,
+         row_number() OVER () AS uid
+  FROM documents
+), f AS (
+  SELECT uid, words, t.*, unnest(list_filter(range(1, greatest(len(words) - len(tk) + 2, 1)), lambda i: words[i:i + len(tk) - 1] = tk)) - key_at AS start
+  FROM d, t
+), m AS (
+  SELECT uid, label, base, start,
+         CASE WHEN base THEN 1.0 ELSE len(list_filter(range(0, len(tw)), lambda j: start + j >= 1 AND words[start + j] = tw[j + 1])) / len(tw)::DOUBLE END AS share
+  FROM f
+), g AS (
+  SELECT uid, count(*) FILTER (WHERE base) AS n_base, min(start - 1) FILTER (WHERE base) AS first_word, max(start - 1) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM m GROUP BY uid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (uid)
+"""
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("matches")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frametide.llm import chat_format, exact_dedup, quality_rules
+from frametide.llm import chat_format, exact_dedup, license_scan, quality_rules
 from frametide.llm.best_fit_packing import op9_best_fit_packing
 from frametide.llm.bpe_codec import op3_bpe_codec
 from frametide.llm.chat_format import op4_chat_format
@@ -34,5 +34,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_chat_format": chat_format.SQL,
+    "op7_license_scan": license_scan.sql(),
     "op8_quality_rules": quality_rules.SQL,
 }
