@@ -49,11 +49,14 @@ def filled_rows(rows: DataFrame, std: float = EMPTY_STD, uniformity: float = UNI
 
 
 def background_uniformity(pixels: DataFrame, keys: list[str], value: str, reach: int = MODE_REACH) -> DataFrame:
-    """For each key: the commonest value (the lowest of ties) and the share of values within ``reach`` of it."""
+    """For each key: the commonest value (the lowest of ties) and the share of values within ``reach`` of it.
+
+    Values are grey levels: a key's histogram is an array of at most 256 bins.
+    """
     bins = pixels.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    modes = bins.groupBy(*keys).agg(F.max_by("bin", F.struct("n", (-F.col("bin")).alias("low"))).alias("mode"), F.sum("n").alias("total"))
-    near = bins.join(modes, keys).filter(F.abs(F.col("bin") - F.col("mode")) <= reach)
-    return near.groupBy(*keys).agg(F.first("mode").alias("mode"), (F.sum("n") / F.first("total")).alias("uniformity"))
+    whole = bins.groupBy(*keys).agg(F.collect_list(F.struct("bin", "n")).alias("h"), F.max_by("bin", F.struct("n", (-F.col("bin")).alias("low"))).alias("mode"), F.sum("n").alias("total"))
+    near = F.aggregate("h", F.lit(0).cast("long"), lambda a, b: a + F.when(F.abs(b["bin"] - F.col("mode")) <= reach, b["n"]).otherwise(0))
+    return whole.select(*keys, "mode", (near / F.col("total")).alias("uniformity"))
 
 
 def persistent_hashes(hashes: DataFrame, bits: int = MATCH_BITS, persistence: int = PERSISTENCE) -> DataFrame:

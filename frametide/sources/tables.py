@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, frame (from 0), t_us, event_id, event_type, value."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("session_id"), (F.row_number().over(w) - 1).alias("frame"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), "event_id", "event_type", "value")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("session_id"), "event_type", "value")
+    w = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    return e.select("session_id", (F.row_number().over(w) - 1).alias("frame"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), "event_id", "event_type", "value")
 
 
 def counter_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
