@@ -21,9 +21,8 @@ Call = Callable[[str, str | None], tuple[str, dict]]
 def user_prompt(game: Column, index: Column, total: Column, event: Column, note: Column, measured: Column, bands: Column, times: Column) -> Column:
     """The text half of a request: the context, the measured values as ground truth, the tier's ranges, the tiles' times."""
     return F.format_string(
-        "CONTEXT\n  game: %s · clip %02d of %02d · event: %s\n  player sensitivity: %s\n\nMEASURED (ground truth — do not recompute)\n%s\n\nREFERENCE BANDS (this skill tier)\n%s\n\n"
-        "The attached image is a 3x3 frame grid; tile timestamps (seconds from clip start) are %s.\n\nAnalyze per the schema.",
-        game, index, total, event, note, F.to_json(measured, {"ignoreNullFields": "false"}), F.to_json(bands), F.concat(F.lit("["), F.array_join(F.transform(times, lambda t: F.format_string("%.2f", t)), ", "), F.lit("]")),
+        "Clip %02d of %02d from %s, an engagement of kind %s. Sensitivity: %s.\n\nThese values were measured; take them as given:\n%s\n\nUsual ranges at this level:\n%s\n\nThe picture's tiles were taken at these seconds of the clip: %s.\n\nAnswer in the given schema only.",
+        index, total, game, event, note, F.to_json(measured, {"ignoreNullFields": "false"}), F.to_json(bands), F.concat(F.lit("["), F.array_join(F.transform(times, lambda t: F.format_string("%.2f", t)), ", "), F.lit("]")),
     )
 
 

@@ -77,6 +77,7 @@ def target_switch_ms(trace: DataFrame, shots: DataFrame, threshold: float = SETT
 
 def warnings(fps: float, has_stimulus: Column, shots: Column, jitter: Column, hit_detection: bool) -> Column:
     """The notes that go with a clip's numbers, in order."""
+    # The notes' wording, which consumers of the records match on.
     stim = has_stimulus & (shots > 0)
     out = [
         F.when(stim & F.lit(fps < 50), F.lit(f"fps={fps:.0f} too low for reaction time; quantization +/-{1000.0 / fps / 2:.1f}ms exceeds useful resolution")),

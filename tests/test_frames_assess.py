@@ -114,7 +114,7 @@ def test_assess_and_results(spark):
 def test_prompt(spark):
     p = assess.user_prompt(F.lit("g"), F.lit(1), F.lit(8), F.lit("kill"), F.lit("none"), F.struct(F.lit(None).cast("double").alias("x")), assess.bands_column(), F.array(F.lit(0.17), F.lit(0.5)))
     text = spark.range(1).select(p.alias("p")).first()["p"]
-    assert "clip 01 of 08" in text and '{"x":null}' in text and "[0.17, 0.50]" in text and all(m in text for m in records.BANDS)
+    assert "Clip 01 of 08 from g" in text and '{"x":null}' in text and "[0.17, 0.50]" in text and all(m in text for m in records.BANDS)
 
 
 def test_stream_spawns_and_bucket(spark, tmp_path):
