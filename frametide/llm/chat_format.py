@@ -170,20 +170,24 @@ def prefix_forest(turns: DataFrame) -> Forest:
     chain = materialise(ordered.mapInArrow(_chain, _CHAIN), "turns")
     convs = chain.filter("path IS NOT NULL").select("uid", "path").repartitionByRange("path", "uid").sortWithinPartitions("path", "uid")
     ranks = materialise(convs.select("uid", F.monotonically_increasing_id().alias("rank")), "ranks")
-    ranked = chain.filter("path IS NULL").join(ranks, "uid")
-    kept = ["parent", "depth", "role", "formatted", "position", "chars", "loss_start", "loss_chars"]
-    nodes = ranked.groupBy("node").agg(F.min("rank").alias("rank"), F.count("*").alias("n_conversations"), *[F.first(c).alias(c) for c in kept])
-    emitted = nodes.repartitionByRange("rank", "depth").sortWithinPartitions("rank", "depth")
+    turn = chain.filter("path IS NULL")
+    # Texts stay where they are until every node has its place: only then are they looked up, by the turn that names the node.
+    ranked = turn.select("uid", "depth", "node", "chars").join(ranks, "uid")
+    heads = ranked.groupBy("node").agg(F.min(F.struct("rank", "uid")).alias("first"), F.count("*").alias("n_conversations"), F.first("depth").alias("depth"), F.first("chars").alias("chars"))
+    heads = materialise(heads.select("node", "first.rank", "first.uid", "depth", "chars", "n_conversations"), "heads")
+    emitted = heads.repartitionByRange("rank", "depth").sortWithinPartitions("rank", "depth")
     emitted = materialise(emitted.mapInArrow(_running, T.StructType([*emitted.schema.fields, T.StructField("split", T.IntegerType()), T.StructField("local", T.LongType())])), "nodes")
     sums = sorted((r["split"], r["n"]) for r in emitted.groupBy("split").agg(F.sum("chars").alias("n")).collect())  # one row a split
     bases = spark.createDataFrame(list(zip([s for s, _ in sums], accumulate([n for _, n in sums], initial=0))), "split int, base long")
     placed = emitted.join(F.broadcast(bases), "split").withColumn("start", F.col("base") + F.col("local")).drop("split", "local", "base")
-    members = chain.filter("path IS NULL").select("uid", "conv_id", "depth", "node")
+    members = turn.select("uid", "conv_id", "depth", "node")
     lookup = placed.select("node", "start", "chars", F.col("rank").alias("node_rank"), "n_conversations")
-    walked = skew_join(members.join(ranks, "uid"), lookup, ["node"], "n_conversations", chain.count(), ["uid"])
+    walked = skew_join(ranked.select("uid", "depth", "node", "rank"), lookup, ["node"], "n_conversations", chain.count(), ["uid"])
     walked = walked.withColumn("first", F.col("rank") == F.col("node_rank")).repartition("uid").sortWithinPartitions("uid", "depth")
     attention = walked.select("uid", "node", "start", "chars", "first").mapInArrow(_attention, "node string, attention array<struct<start: long, end: long>>")
-    return Forest(placed.drop("rank").join(attention, "node"), members)
+    texts = turn.select("uid", "depth", "parent", "role", "formatted", "position", "loss_start", "loss_chars")
+    nodes = placed.drop("rank").join(attention, "node").join(texts, ["uid", "depth"]).drop("uid")
+    return Forest(nodes, members)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
