@@ -62,9 +62,13 @@ def with_size(docs: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes the documents with their texts as one folder a shard, its rows in the order of their slots."""
+    """Writes the documents with their texts as one folder a shard.
+
+    A shard is several files, each a range of its slots, in the order of their
+    names: no task ever writes a whole shard.
+    """
     placed = external_shuffle(with_size(docs), key="doc_id", size="size", **options)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
