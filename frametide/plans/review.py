@@ -33,8 +33,12 @@ def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 def all_events(shots: DataFrame, hits: DataFrame, extra: list[DataFrame]) -> DataFrame:
-    """Derived shots, hits and whiffs with further event streams: session_id, frame, type."""
-    out = compose.derive_events(numbered(shots, "si", "frame", "nth"), numbered(hits, "hi", "frame"))
+    """Derived shots, hits and whiffs with further event streams: session_id, frame, type.
+
+    Shots and hits are few beside the readings they come from and are read three
+    times here: they are written once.
+    """
+    out = compose.derive_events(written(numbered(shots, "si", "frame", "nth"), "shots"), written(numbered(hits, "hi", "frame"), "hits"))
     for more in extra:
         out = out.unionByName(more.select("session_id", "frame", "type"))
     return out
