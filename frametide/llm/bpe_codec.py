@@ -35,44 +35,60 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 #: versions of the two regex libraries; texts with them are cut by the tokenizers library.
 UNSETTLED = regex.compile("[^\x00-\u0557\u1e00-\u206f\u20a0-\u20bf\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 200_000
 CACHE_CHARS = 48
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 500_000
 
 
 class ByteBpe:
-    """Encoder and decoder of one byte-level BPE file of the tokenizers library."""
+    """Encoder and decoder of one byte-level BPE file of the tokenizers library.
+
+    What only the encoder needs is built when it is first used: a worker that
+    decodes holds the tokens' bytes and offsets, nothing else.
+    """
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_alphabet()
         vocab: dict[str, int] = spec["model"]["vocab"]
-        specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *specials.values()]) + 1
-        self.token_bytes: list[bytes] = [b""] * size
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.n_ids = max([*vocab.values(), *self.specials.values()]) + 1
+        token_bytes: list[bytes] = [b""] * self.n_ids
         for token, i in vocab.items():
-            self.token_bytes[i] = bytes(letters[c] for c in token)
-        for token, i in specials.items():
-            self.token_bytes[i] = token.encode()
-        self.specials = specials
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
-        self.pre_tokenizer = load(path).pre_tokenizer
+            token_bytes[i] = bytes(letters[c] for c in token)
+        for token, i in self.specials.items():
+            token_bytes[i] = token.encode()
+        #: The decoder's blob, and where each id's bytes start in it.
+        self.blob = np.frombuffer(b"".join(token_bytes), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in token_bytes])]).astype(np.int64)
+        self.ready = False
+
+    def token(self, i: int) -> bytes:
+        return self.blob[self.offsets[i] : self.offsets[i + 1]].tobytes()
+
+    def prepare(self) -> None:
+        """Builds the encoder's tables."""
+        with open(self.path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocab = spec["model"]["vocab"]
+        self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+        self.pre_tokenizer = load(self.path).pre_tokenizer
         #: Of each merge: its rank, and of each token: the merge that makes it.
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.made_at = [-1] * size
+        self.made_at = [-1] * self.n_ids
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             pair, whole = (vocab[left], vocab[right]), vocab[left + right]
             self.rank.setdefault(pair, rank)
             if whole not in self.parts:
                 self.parts[whole], self.made_at[whole] = pair, rank
-        by_bytes = {self.token_bytes[i]: i for i in vocab.values()}
-        self.by_bytes = by_bytes
-        self.size = [len(t) for t in self.token_bytes]
+        self.by_bytes = by_bytes = {self.token(i): i for i in vocab.values()}
+        self.size = np.diff(self.offsets).tolist()
         #: Of each token: the longest token that is a proper prefix of it; -1: none.
-        self.shorter = [-1] * size
+        self.shorter = [-1] * self.n_ids
         for raw, i in by_bytes.items():
             for n in range(len(raw) - 1, 0, -1):
                 if raw[:n] in by_bytes:
@@ -86,9 +102,7 @@ class ByteBpe:
         #: Pre-token -> packed ids, in two generations.
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        #: The decoder's blob, and where each id's bytes start in it.
-        self.blob = np.frombuffer(b"".join(self.token_bytes), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in self.token_bytes])]).astype(np.int64)
+        self.ready = True
 
     def pair_ok(self, left: int, right: int) -> bool:
         """Whether merging the bytes of the two tokens together ends in just these two.
@@ -138,6 +152,8 @@ class ByteBpe:
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """The ids of one pre-token."""
+        if not self.ready:
+            self.prepare()
         whole = self.by_bytes.get(raw)
         if whole is not None:  # every token of the vocabulary encodes to itself
             return [whole]
@@ -191,6 +207,8 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers."""
+        if not self.ready:
+            self.prepare()
         if self.split_special is None or "<|" not in text:
             return b"".join(map(self.pack, self.pieces(text)))
         out = []

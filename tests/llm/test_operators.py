@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 import brute
@@ -70,7 +71,7 @@ def test_bpe_every_token_and_random_text():
     bpe = bpe_codec.codec(public_tokenizers.path("byte_bpe_50k.json"))
     tok = brute.tok("byte_bpe_50k.json")
     rnd = random.Random(5)
-    letters = [bpe.token_bytes[i].decode("utf-8", "ignore") for i in rnd.sample(range(50_256), 400)] + list("  \n\t'aeiou🙂é漢ա") + ["<|endoftext|>", "'ll", "1"]
+    letters = [bpe.token(i).decode("utf-8", "ignore") for i in rnd.sample(range(50_256), 400)] + list("  \n\t'aeiou🙂é漢ա") + ["<|endoftext|>", "'ll", "1"]
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
     for text, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == e.ids
@@ -295,6 +296,9 @@ def test_sharding_writes_whole_texts(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter(ROWS)
+    for folder in (tmp_path / "out").glob("shard=*"):  # files by name hold a shard's slots in order
+        slots = [r for f in sorted(folder.glob("*.parquet")) for r in pq.read_table(f, partitioning=None).column("slot").to_pylist()]
+        assert slots == list(range(len(slots)))
 
 
 def test_empty_tables(spark, empty):
