@@ -37,7 +37,7 @@ MIN_DOCS = 4
 BEGINNINGS = (3, 4, 5, 6, 7)
 STEPS = 400
 L2 = 2e-4
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -151,17 +151,31 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, feature
     sample = materialise(pick(docs, "doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", "text"), "labelled")
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents and toxic documents that use each feature, added up before they leave the task."""
+        seen: Counter[str] = Counter()
+        toxic_: Counter[str] = Counter()
+
+        def batch_of() -> pa.RecordBatch:
+            names = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic_[f] for f in names], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["f", "a", "d"])
+
         for batch in batches:
-            out: list[tuple[str, int]] = []
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                out.extend((f, toxic) for f in {f for c in set(chunks(text.as_py() or "")) for f in features_of_chunk(c)})
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.string()), pa.array([t for _, t in out], pa.int64())], names=["f", "toxic"])
+                own = {f for c in set(chunks(text.as_py() or "")) for f in features_of_chunk(c)}
+                seen.update(own)
+                if toxic:
+                    toxic_.update(own)
+                if len(seen) > 200_000:
+                    yield batch_of()
+                    seen.clear()
+                    toxic_.clear()
+        yield batch_of()
 
     totals = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, n_toxic = totals["n"], totals["toxic"] or 0
     if not 0 < n_toxic < n:
         return None
-    counts = sample.mapInArrow(used, "f string, toxic long").groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("d"))
+    counts = sample.mapInArrow(used, "f string, a long, d long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
     odds = lambda hit, all_: F.log((hit + 0.5) / (F.lit(all_) - hit + 0.5))
     pull = odds(F.col("a"), n_toxic) - odds(F.col("d") - F.col("a"), n - n_toxic)
     strength = F.abs(pull) * F.sqrt(F.least(F.col("d"), F.lit(50)))
