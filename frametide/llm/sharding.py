@@ -10,10 +10,13 @@ and moves no other record. Everything runs in the JVM.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frametide.llm._common import materialise, pick, table
+from frametide.llm._common import pick, table
+from frametide.sources.scratch import shared_dir
 
 SHARDS = 16
 SEED = 20_240_607
@@ -26,6 +29,16 @@ def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.greatest(*[F.struct(F.xxhash64(F.lit(seed), F.lit(i), key).alias("h"), F.lit(i).alias("i")) for i in range(shards)])["i"]
 
 
+def _write_buckets(dealt: DataFrame) -> DataFrame:
+    """Writes each bucket as a file of its shard's folder tree, in its order, and reads them back. They go when the driver's JVM ends."""
+    spark = dealt.sparkSession
+    path = f"{shared_dir(spark)}/frametide-shards-{uuid.uuid4().hex}"
+    dealt.sortWithinPartitions("shard", "_bucket", "_pos").write.partitionBy("shard", "_bucket").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
 def external_shuffle(records: DataFrame, *, key: str, size: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Puts all records into shards, in random order within each.
 
@@ -36,29 +49,35 @@ def external_shuffle(records: DataFrame, *, key: str, size: str, shards: int = S
     ``seed`` only; the order within one also on the input's splits.
     """
     cols = [c for c in records.columns if c not in ("shard", "slot", "grown_shard")]
-    total = records.agg(F.sum(size).alias("b"), F.count("*").alias("n")).first()
-    per_shard = max(1, -(-int((total["b"] or 0) + 64 * total["n"]) // (shards * bucket_bytes)))
+    total = records.groupBy(rendezvous(F.col(key), shards, seed).alias("shard")).agg((F.coalesce(F.sum(size), F.lit(0)) + 64 * F.count("*")).alias("b"))
+    held = {r["shard"]: int(r["b"]) for r in total.collect()}  # one row a shard
+    per_shard = F.array(*[F.lit(max(1, -(-held.get(i, 0) // bucket_bytes))) for i in range(shards)])
     one = F.struct(*cols)
     scattered = records.select(*cols).withColumns({"shard": rendezvous(F.col(key), shards, seed), "grown_shard": rendezvous(F.col(key), shards + 1, seed)})
     # The bucket is drawn from the whole record and the split it came from: neither a key
     # nor a record that repeats a third of the time fills a bucket of its shard alone.
     drawn = F.xxhash64(F.lit(seed + 1), F.spark_partition_id(), *cols)
-    scattered = scattered.withColumn("_bucket", F.pmod(drawn, F.lit(per_shard)).cast("int"))
+    scattered = scattered.withColumn("_bucket", F.pmod(drawn, per_shard[F.col("shard")]).cast("int"))
     buckets = scattered.groupBy("shard", "_bucket").agg(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 2), *cols).alias("_o"), one.alias("_r"), "grown_shard")).alias("_list"))
     # Sorted first, so that the shuffle starts from the same order however the rows arrived.
     dealt = buckets.select("shard", "_bucket", F.shuffle(F.array_sort("_list"), seed).alias("_list"))
-    dealt = materialise(dealt.select("shard", "_bucket", F.posexplode("_list").alias("_pos", "_x")).select("shard", "_bucket", "_pos", "_x._r.*", "_x.grown_shard"), "shards")
+    dealt = _write_buckets(dealt.select("shard", "_bucket", F.posexplode("_list").alias("_pos", "_x")).select("shard", "_bucket", "_pos", "_x._r.*", "_x.grown_shard"))
     sizes = dealt.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    # One row a bucket, a thousand for 30 GB: records aren't shuffled again to learn their bucket's place.
     bases = sizes.select("shard", "_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
-    return dealt.join(bases, ["shard", "_bucket"]).select(*cols, "shard", (F.col("_base") + F.col("_pos")).cast("long").alias("slot"), "grown_shard")
+    return dealt.join(F.broadcast(bases), ["shard", "_bucket"]).select(*cols, "shard", (F.col("_base") + F.col("_pos")).cast("long").alias("slot"), "grown_shard")
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    """doc_id, text, size (the text's UTF-8 bytes, none if it is null, plus 1) and text_crc32 (null counts as empty)."""
-    docs = pick(docs, "doc_id", "text")
+def with_digests(docs: DataFrame) -> DataFrame:
+    """Adds size (the text's UTF-8 bytes, none if it is null, plus 1) and text_crc32 (null counts as empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    return docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(F.encode(text, "UTF-8"))})
+
+
+def with_size(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with their digests."""
+    return with_digests(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
@@ -72,6 +91,7 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = with_size(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32")
-    placed = external_shuffle(records, key="doc_id", size="size")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    """Texts are scattered, shuffled and written with their records; size and text_crc32 are those of the texts found in the shards."""
+    records = with_size(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("size").alias("_size"))
+    found = with_digests(external_shuffle(records, key="doc_id", size="_size"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
