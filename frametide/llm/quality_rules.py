@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from frametide.llm._common import filter_arrow, pick, table
+from frametide.llm._common import pick, table
 
 WINDOW = 5
 _SYMBOLS = b"#*$%&|<>"
@@ -106,10 +107,15 @@ def ledger(docs: DataFrame) -> DataFrame:
     """
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     measured = docs.mapInArrow(_measured, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    return measured.withColumn("failed", failed_bits())
+
+
+def failed_bits() -> Column:
+    """The long of failed rules, from the measurements."""
     bits = F.lit(0).cast("long")
     for i, failed in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measured.withColumn("failed", bits)
+    return bits
 
 
 def passes(policy: str, failed: Column | str = "failed") -> Column:
@@ -141,19 +147,20 @@ def quality_rules(docs: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, policy: str = POLICY) -> DataFrame:
-    """The rows of ``docs`` that pass a policy, with all their columns, in one pass without a shuffle."""
-    text_at = docs.columns.index("text")
-    checks = [compile(c.replace(" = ", " == "), r, "eval") for r, c in RULES.items() if r in {*POLICIES["base"], *POLICIES[policy]}]
+    """The rows of ``docs`` that pass a policy by the ledger's mask, with all their columns, in one pass without a shuffle."""
+    cols = docs.columns
+    text_at = cols.index("text")
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for text in batch.column(text_at):
-                got = dict(zip(MEASURES, measure(text.as_py() or "")))
-                keep.append(not any(eval(c, {}, got) for c in checks))  # noqa: S307
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            rows = [measure(t.as_py() or "") for t in batch.column(text_at)]
+            columns = zip(*rows) if rows else [[] for _ in MEASURES]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *MEASURES])
 
-    return filter_arrow(docs, run)
+    measured = plain.mapInArrow(run, StructType([*plain.schema.fields, *(StructField(m, LongType()) for m in MEASURES)]))
+    book = measured.withColumn("failed", failed_bits())
+    return book.filter(passes("base") & passes(policy)).select(*plain.columns).toDF(*cols)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
