@@ -28,14 +28,16 @@ from frametide.llm._words import chunks, id_cache, tokenizer_path
 
 WIDTH = 4096
 END_ID = 1
+#: Bytes of ids after which a task hands pieces on.
+BATCH_BYTES = 16 << 20
 
 
 def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Tokenises every whole text and cuts what is longer than ``width``.
 
-    Columns: doc_id, piece, start, length, ids_crc32, task and local_rank (the
-    piece's number among those of its length in its task), and ids (binary) if
-    ``keep_ids``.
+    Columns: doc_id, piece, start, length, task and local_rank (the piece's
+    number among those of its length in its task), and ids (binary) if
+    ``keep_ids``, else their ids_crc32.
     """
     path = tokenizer_path("word_bpe_49k.json", tokenizer)
     end = end_id.to_bytes(4, "little")
@@ -44,21 +46,33 @@ def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokeniz
         task = TaskContext.get().partitionId()
         ids_of = id_cache(path).__getitem__
         ranks: Counter[int] = Counter()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary() if keep_ids else pa.int64(), pa.int32(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "ids" if keep_ids else "ids_crc32", "task", "local_rank"]
+        rows: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[] for _ in kinds], kinds)], names=names)
+            rows.clear()
+            return got
+
         for batch in batches:
-            rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = b"".join(map(ids_of, chunks(text.as_py() or ""))) + end
                 for n, at in enumerate(range(0, len(ids), 4 * width)):
                     part = ids[at : at + 4 * width]
                     size = len(part) // 4
-                    rows.append((doc, n, at // 4, size, zlib.crc32(part), task, ranks[size], *([part] if keep_ids else [])))
+                    rows.append((doc, n, at // 4, size, part if keep_ids else zlib.crc32(part), task, ranks[size]))
                     ranks[size] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary()] if keep_ids else [])]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "local_rank", *(["ids"] if keep_ids else [])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[] for _ in kinds], kinds)], names=names)
+                held += len(ids)
+                if keep_ids and held > BATCH_BYTES:
+                    yield flush()
+                    held = 0
+            yield flush()
+            held = 0
 
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long" + ", ids binary" * keep_ids)
+    return docs.mapInArrow(run, f"doc_id long, piece int, start long, length long, {'ids binary' if keep_ids else 'ids_crc32 long'}, task int, local_rank long")
 
 
 def plan_slots(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, int, int, int, int]]:
@@ -150,11 +164,13 @@ def best_fit_packing(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_I
     starts = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``width`` rows
     slots = plan_slots(histogram, width)
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-    ranked = cut.join(starts, ["length", "task"]).select(*kept, (F.col("base") + F.col("local_rank")).alias("rank"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "sequence_id long, offset long"
-    return ranked.mapInArrow(_place(slots), schema)
+    carried = "ids" if keep_ids else "ids_crc32"
+    ranked = cut.join(starts, ["length", "task"]).select("doc_id", "piece", "start", "length", carried, (F.col("base") + F.col("local_rank")).alias("rank"))
+    schema = f"doc_id long, piece int, start long, length long, {carried} {'binary' if keep_ids else 'long'}, sequence_id long, offset long"
+    placed = ranked.mapInArrow(_place(slots), schema)
+    crc = F.crc32("ids") if keep_ids else F.col("ids_crc32")  # of the ids that lie in their sequence
+    return placed.select("doc_id", "piece", "start", "length", crc.alias("ids_crc32"), *(["ids"] if keep_ids else []), "sequence_id", "offset")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"))
+    return best_fit_packing(table(spark, sf_dir, "documents"), keep_ids=True).drop("ids")
