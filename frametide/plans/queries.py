@@ -12,7 +12,6 @@ from frametide.operators import compose, cost, detect, geometry, metrics, record
 from frametide.plans import review as plan
 from frametide.sources import tables
 from frametide.sources.media import flick_path
-from frametide.sources.scratch import shared_dir
 from frametide.streaming import stateful
 from frametide.streaming.stateful import session_engagements
 
@@ -568,12 +567,12 @@ def min_jerk_path(spark, d):
 
 @query
 def stream_counter_decrement(spark, d):
-    return stateful.through_stream(tables.counter_readings(spark, d), stateful.stream_counter_decrements, shared_dir(spark))
+    return stateful.through_stream(tables.counter_readings(spark, d), stateful.stream_counter_decrements)
 
 
 @query
 def stream_rising_edge(spark, d):
-    return stateful.through_stream(_scores(spark, d), lambda s: stateful.stream_rising_edges(s, 80.0), shared_dir(spark))
+    return stateful.through_stream(_scores(spark, d), lambda s: stateful.stream_rising_edges(s, 80.0))
 
 
 # --- whole

@@ -7,7 +7,6 @@ and skip frames at or before the last one seen.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from frametide.operators.detect import HISTORY, HIT_SCORE, MATCH_BITS, MAX_STEP, PERSISTENCE, SPAWN_FRAMES
+from frametide.sources.scratch import remove, scratch_path
 
 
 def session_engagements(events: DataFrame, at: str, gap: str, *, delay: str = "0 seconds") -> DataFrame:
@@ -146,17 +146,20 @@ def stream_token_bucket(arrivals: DataFrame, rate: float, burst: float) -> DataF
     return _fold("session_id long, frame int, wait_s double", "frame long, now double, tokens double", (-1, None, burst), step)(arrivals)
 
 
-def through_stream(batch: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+def through_stream(batch: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Runs a streaming transformation over a table's rows and returns what it appended.
 
-    The rows are written to ``folder``, a place that all executors share, read
-    back as a stream until all are consumed, and the sink's files are read.
+    The rows are written to the folder that all executors share, read back as a
+    stream until all are consumed, and the sink's files are read. Input and state
+    go at once, what was appended when the driver's JVM ends.
     """
     spark = batch.sparkSession
-    at = f"{folder.rstrip('/')}/frametide-stream-{uuid.uuid4().hex}"
+    at = scratch_path(spark, "stream")
     batch.write.parquet(f"{at}/in")
     out = transform(spark.readStream.schema(batch.schema).parquet(f"{at}/in"))
     out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    for part in ("in", "state"):
+        remove(spark, f"{at}/{part}")
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
