@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.sources.scratch import written as materialise
+from frametide.sources.scratch import discard, written as materialise  # noqa: F401
 
 #: ASCII white space, the separators of every word rule in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"

@@ -1,27 +1,33 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters records uniformly into buckets that fit memory, by a seeded
-hash. Pass two shuffles each bucket on its own with Fisher-Yates (Spark's seeded
-``shuffle`` of an array) and writes it; a shard is its buckets one after the
-other. A record's shard is decided by its key and the number of shards alone, by
-rendezvous hashing, so one more shard takes records from all the others evenly
-and moves no other record. Everything runs in the JVM.
+Pass one scatters whole records uniformly into buckets that fit memory, by a
+seeded hash of the record. Pass two shuffles each bucket on its own with
+Fisher-Yates (Spark's seeded ``shuffle`` of an array) and writes it; a shard is
+its buckets one after the other. Records move once. A record's shard is decided
+by its key and the number of shards alone, by rendezvous hashing, so one more
+shard takes records from all the others evenly and moves no other record.
+
+A bucket is a task of its own, so its shuffle starts from a generator seeded by
+the seed and the bucket's number, and from records in a fixed order: slots are
+the same however the input is split. Everything runs in the JVM.
 """
 
 from __future__ import annotations
 
-import uuid
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frametide.llm._common import pick, table
-from frametide.sources.scratch import shared_dir
+from frametide.llm._common import discard, materialise, pick, table
+from frametide.sources.scratch import scratch_path
 
 SHARDS = 16
 SEED = 20_240_607
 #: Bytes of records that a bucket holds on average; a task takes one bucket at a time.
 BUCKET_BYTES = 32 << 20
+#: Records that repeat wholly are dealt over buckets by number once they fill this share of one.
+REPEATS_SHARE = 8
 
 
 def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -29,44 +35,81 @@ def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.greatest(*[F.struct(F.xxhash64(F.lit(seed), F.lit(i), key).alias("h"), F.lit(i).alias("i")) for i in range(shards)])["i"]
 
 
-def _write_buckets(dealt: DataFrame) -> DataFrame:
-    """Writes each bucket as a file of its shard's folder tree, in its order, and reads them back. They go when the driver's JVM ends."""
-    spark = dealt.sparkSession
-    path = f"{shared_dir(spark)}/frametide-shards-{uuid.uuid4().hex}"
-    dealt.sortWithinPartitions("shard", "_bucket", "_pos").write.partitionBy("shard", "_bucket").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(dealt.schema).parquet(path)
+def _dealt_keys(spark: SparkSession, n: int) -> DataFrame:
+    """(_bucket, _k): for each of ``n`` buckets the least number that hash partitioning into ``n`` sends to the partition of that number."""
+    tries = max(64, 4 * n)
+    while True:
+        drawn = spark.range(tries).select(F.col("id").cast("int").alias("k"))
+        found = drawn.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("_bucket")).agg(F.min("k").alias("_k"))
+        if found.count() == n:
+            return found
+        tries *= 2
 
 
-def external_shuffle(records: DataFrame, *, key: str, size: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Puts all records into shards, in random order within each.
+def _deal_repeats(records: DataFrame, cols: list[str], heavy: DataFrame) -> DataFrame:
+    """Records whose ``_h`` is in ``heavy`` (shard, _h, _buckets), one row for each bucket that copies of it go to and how many (_times)."""
+    ones = records.join(heavy.select("shard", "_h", "_buckets"), ["shard", "_h"])
+    ones = ones.groupBy(*cols, "shard", "grown_shard", "_h", "_buckets").agg(F.count("*").alias("_n"))
+    wide = F.least(F.col("_n"), F.col("_buckets")).cast("int")
+    dealt = ones.withColumn("_j", F.explode(F.sequence(F.lit(0), wide - 1))).withColumn("_wide", wide)
+    times = F.floor(F.col("_n") / F.col("_wide")) + F.when(F.col("_j") < F.col("_n") % F.col("_wide"), 1).otherwise(0)
+    return dealt.withColumn("_times", times.cast("int"))
+
+
+def external_shuffle(records: DataFrame, *, key: str, size: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
+    """Puts all records into shards, in random order within each, written as one folder a shard, and reads them back.
 
     Adds shard, slot (the place in the shard, gapless from 0) and grown_shard
-    (the shard if there were one more). ``size`` is a record's bytes. Columns of
-    those names are replaced. Records that repeat wholly are placed each for
-    itself; an empty table gives an empty one. Shards depend on key and
-    ``seed`` only; the order within one also on the input's splits.
+    (the shard if there were one more). A file is a bucket, a range of its
+    shard's slots; names sort in their order. Without ``path`` the files go when
+    the driver's JVM ends. ``size`` is a record's bytes, in SQL. Columns of the added
+    names are replaced. Records that repeat wholly are placed each for itself; a
+    null key is a key like any other; an empty table gives an empty one.
+    Shards, slots and grown shards depend on the records, ``shards``, ``seed``
+    and ``bucket_bytes`` only.
     """
+    spark = records.sparkSession
     cols = [c for c in records.columns if c not in ("shard", "slot", "grown_shard")]
-    total = records.groupBy(rendezvous(F.col(key), shards, seed).alias("shard")).agg((F.coalesce(F.sum(size), F.lit(0)) + 64 * F.count("*")).alias("b"))
-    held = {r["shard"]: int(r["b"]) for r in total.collect()}  # one row a shard
-    per_shard = F.array(*[F.lit(max(1, -(-held.get(i, 0) // bucket_bytes))) for i in range(shards)])
-    one = F.struct(*cols)
-    scattered = records.select(*cols).withColumns({"shard": rendezvous(F.col(key), shards, seed), "grown_shard": rendezvous(F.col(key), shards + 1, seed)})
-    # The bucket is drawn from the whole record and the split it came from: neither a key
-    # nor a record that repeats a third of the time fills a bucket of its shard alone.
-    drawn = F.xxhash64(F.lit(seed + 1), F.spark_partition_id(), *cols)
-    scattered = scattered.withColumn("_bucket", F.pmod(drawn, per_shard[F.col("shard")]).cast("int"))
-    buckets = scattered.groupBy("shard", "_bucket").agg(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 2), *cols).alias("_o"), one.alias("_r"), "grown_shard")).alias("_list"))
-    # Sorted first, so that the shuffle starts from the same order however the rows arrived.
-    dealt = buckets.select("shard", "_bucket", F.shuffle(F.array_sort("_list"), seed).alias("_list"))
-    dealt = _write_buckets(dealt.select("shard", "_bucket", F.posexplode("_list").alias("_pos", "_x")).select("shard", "_bucket", "_pos", "_x._r.*", "_x.grown_shard"))
-    sizes = dealt.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
+    placed = records.select(*cols, rendezvous(F.col(key), shards, seed).alias("shard"), rendezvous(F.col(key), shards + 1, seed).alias("grown_shard"), F.xxhash64(F.lit(seed + 1), *cols).alias("_h"))
+    hashes = placed.groupBy("shard", "_h").agg(F.count("*").alias("_n"), (F.coalesce(F.sum(F.expr(size)), F.lit(0)) + 64 * F.count("*")).alias("_b"))
+    hashes = materialise(hashes, "hashes")  # numbers only: 28 bytes a record
+    held = {r["shard"]: int(r["b"]) for r in hashes.groupBy("shard").agg(F.sum("_b").alias("b")).collect()}  # one row a shard
+    counts = [max(1, -(-held.get(i, 0) // bucket_bytes)) for i in range(shards)]
+    n_buckets = sum(counts)
+    first = F.array(*[F.lit(x) for x in [*accumulate(counts, initial=0)][:-1]])
+    wide = F.array(*[F.lit(x) for x in counts])
+    bucket = lambda j: (first[F.col("shard")] + F.pmod(F.col("_h") + j, wide[F.col("shard")])).cast("int").alias("_bucket")
+
+    repeats = (F.col("_n") > 1) & (F.col("_b") * REPEATS_SHARE > bucket_bytes) & (wide[F.col("shard")] > 1)
+    hashes = hashes.withColumns({"_buckets": wide[F.col("shard")], "_many": repeats})
+    each = hashes.withColumn("_wide", F.when(F.col("_many"), F.least("_n", "_buckets")).otherwise(1).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_wide") - 1)))
+    in_each = F.floor(F.col("_n") / F.col("_wide")) + F.when(F.col("_j") < F.col("_n") % F.col("_wide"), 1).otherwise(0)
+    sums = each.select("shard", bucket(F.col("_j")), in_each.alias("_n")).groupBy("shard", "_bucket").agg(F.sum("_n").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    # One row a bucket, a thousand for 30 GB: records aren't shuffled again to learn their bucket's place.
-    bases = sizes.select("shard", "_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
-    return dealt.join(F.broadcast(bases), ["shard", "_bucket"]).select(*cols, "shard", (F.col("_base") + F.col("_pos")).cast("long").alias("slot"), "grown_shard")
+    # One row a bucket, a thousand for 30 GB.
+    plan = materialise(sums.select("_bucket", F.coalesce(before, F.lit(0)).alias("_base")).join(_dealt_keys(spark, n_buckets), "_bucket"), "buckets")
+
+    n_repeats = hashes.filter("_many").count()
+    if n_repeats:
+        heavy = hashes.filter("_many")
+        heavy = F.broadcast(heavy) if n_repeats <= 1 << 16 else heavy
+        once = placed.join(heavy.select("shard", "_h"), ["shard", "_h"], "left_anti").withColumns({"_times": F.lit(1), "_j": F.lit(0)})
+        parts = ["shard", "grown_shard", "_h", *cols, "_times", "_j"]
+        scattered = once.select(*parts).unionByName(_deal_repeats(placed, cols, heavy).select(*parts))
+    else:
+        scattered = placed.withColumns({"_times": F.lit(1), "_j": F.lit(0)})
+    record = F.struct(*cols, "grown_shard")
+    scattered = scattered.select("shard", bucket(F.col("_j")), "_times", F.struct(F.xxhash64(F.lit(seed + 2), *cols).alias("_o"), record.alias("_r")).alias("_x"))
+    scattered = scattered.join(F.broadcast(plan), "_bucket").repartition(n_buckets, "_k")
+    lists = scattered.groupBy("_k").agg(F.collect_list(F.struct("_x", "_times") if n_repeats else "_x").alias("_list"), F.first("shard").alias("shard"), F.first("_base").alias("_base"))
+    whole = F.flatten(F.transform("_list", lambda e: F.array_repeat(e["_x"], e["_times"]))) if n_repeats else F.col("_list")
+    # Sorted first, so that the shuffle starts from the same order however the records arrived.
+    dealt = lists.select("shard", "_base", F.shuffle(F.array_sort(whole), seed).alias("_list")).select("shard", "_base", F.posexplode("_list").alias("_pos", "_x"))
+    dealt = dealt.select("_x._r.*", "shard", (F.col("_base") + F.col("_pos")).cast("long").alias("slot"))
+    out = path or scratch_path(spark, "shards")
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out)
+    discard(hashes, plan)
+    return spark.read.schema(dealt.schema).parquet(out).select(*cols, "shard", "slot", "grown_shard")
 
 
 def with_digests(docs: DataFrame) -> DataFrame:
@@ -80,14 +123,15 @@ def with_size(docs: DataFrame) -> DataFrame:
     return with_digests(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes the documents with their texts as one folder a shard.
+def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Writes the documents with their texts and digests as one folder a shard under ``path``, and reads them back.
 
     A shard is several files, each a range of its slots, in the order of their
-    names: no task ever writes a whole shard.
+    names: no task ever writes a whole shard. Null and empty texts, nulls and
+    repeats of doc_id, empty tables and clashing columns: as in
+    :func:`external_shuffle`, with columns other than doc_id and text left out.
     """
-    placed = external_shuffle(with_size(docs), key="doc_id", size="size", **options)
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return external_shuffle(with_size(docs), key="doc_id", size="size", path=path, **options)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
