@@ -4,14 +4,20 @@ A document's grade is 0 (clean) to ``GRADES - 1``. The model has one weight a
 feature, shared by all thresholds, and ordered thresholds between the grades:
 P(grade <= k) = sigmoid(theta_k - w . x). Its output is the expected grade.
 
-Features are words and their beginnings, weighted by the logarithm of their
-share in the text, so that a long text isn't toxic for its length. The features
-kept are those whose use differs most between toxic and clean labelled
-documents; there are at most ``FEATURES``. Labels only say toxic or not: a toxic
-document's grade is how many of the strongest cues it has a word, by thirds.
-
-The model is fitted on a bounded sample of the labelled rows, at most
-``TRAIN_ROWS``, drawn by a hash of doc_id. It then grades every document.
+Features are whole words, their beginnings, and, of runs of letters too long to
+be one word or in a script without spaces, every gram of a few letters. They are
+weighted by the logarithm of their share in the text, so that a long text isn't
+toxic for its length. The features kept are those whose use differs most between
+toxic and clean labelled documents; there are at most ``FEATURES``.
+
+Labels only say toxic or not, so the grades above 0 are derived, not observed: a
+toxic document's grade is its density of the strongest cues, by thirds. Those
+cues are found in one half of the sample and graded in the other, so that no
+document's grade comes from its own words' statistics.
+
+The model is fitted on a bounded sample, at most ``TRAIN_ROWS`` labelled
+documents, drawn by a hash of doc_id from those that the table holds. It then
+grades every document.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +47,22 @@ L2 = 2e-4
 CACHE_CHUNKS = 200_000
 
 _WORD = regex.compile(r"\p{L}+")
+#: Scripts that are written without spaces: a run of letters may be a sentence.
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+#: Longer runs of letters give grams too, and stand as features by their hash.
+LONG_WORD = 24
+GRAMS, UNSPACED_GRAMS = (5,), (1, 2, 3)
 
 
 def features_of_chunk(chunk: str) -> list[str]:
-    """The features of a run of non-space characters: its words in lower case ("w:") and their beginnings ("b:")."""
+    """The features of a run of non-space characters: its words in lower case ("w:"), their beginnings ("b:") and, of long or unspaced ones, all their grams ("g:")."""
     out = []
     for word in _WORD.findall(chunk.lower()):
-        word = word[:64]
-        out.append(f"w:{word}")
+        unspaced = not word.isascii() and _UNSPACED.search(word) is not None
+        out.append(f"w:{word}" if len(word) <= LONG_WORD else f"w#{xxhash.xxh64_hexdigest(word.encode())}")
         out.extend(f"b:{word[:n]}" for n in BEGINNINGS if len(word) > n)
+        for n in UNSPACED_GRAMS if unspaced else GRAMS if len(word) > LONG_WORD else ():
+            out.extend(f"g:{word[i : i + n]}" for i in range(len(word) - n + 1))
     return out
 
 
@@ -98,31 +112,36 @@ def expected_grade(score: np.ndarray | float, thetas: np.ndarray) -> np.ndarray:
     return _sigmoid(np.asarray(score)[..., None] - thetas).sum(axis=-1)
 
 
+def loss_and_gradient(params: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, l2: float) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood of the grades with its penalty, and its gradient by weights, first threshold and logarithms of gaps."""
+    n, w, raw = len(grades), params[:n_features], params[n_features:]
+    gaps = np.exp(raw[1:])
+    thetas = np.concatenate([raw[:1], raw[0] + np.cumsum(gaps)])
+    score = np.bincount(rows, values * w[cols], n)
+    edges = np.concatenate([[-np.inf], thetas, [np.inf]])
+    hi, lo = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
+    p = np.maximum(hi - lo, 1e-12)
+    d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    grad = np.zeros_like(params)
+    grad[:n_features] = np.bincount(cols, values * (d_hi - d_lo)[rows], n_features) / n + l2 * w
+    by_theta = np.array([(d_lo[grades == k + 1]).sum() - (d_hi[grades == k]).sum() for k in range(len(raw))]) / n
+    tails = np.cumsum(by_theta[::-1])[::-1]
+    grad[n_features] = tails[0]
+    grad[n_features + 1 :] = tails[1:] * gaps
+    return float(-np.log(p).mean() + l2 / 2 * (w @ w)), grad
+
+
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int = GRADES, steps: int = STEPS, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of greatest penalised likelihood, by Adam over all rows.
 
     Thresholds are the first and the logarithms of the gaps after it, which keeps
     them in order.
     """
-    n = len(grades)
     params = np.zeros(n_features + n_grades - 1)
     params[n_features] = 2.0
     mean, square = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
-        w, raw = params[:n_features], params[n_features:]
-        gaps = np.exp(raw[1:])
-        thetas = np.concatenate([raw[:1], raw[0] + np.cumsum(gaps)])
-        score = np.bincount(rows, values * w[cols], n)
-        edges = np.concatenate([[-np.inf], thetas, [np.inf]])
-        hi, lo = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
-        p = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        grad = np.zeros_like(params)
-        grad[:n_features] = np.bincount(cols, values * (d_hi - d_lo)[rows], n_features) / n + l2 * w
-        by_theta = np.array([(d_lo[grades == k + 1]).sum() - (d_hi[grades == k]).sum() for k in range(n_grades - 1)]) / n
-        tails = np.cumsum(by_theta[::-1])[::-1]
-        grad[n_features] = tails[0]
-        grad[n_features + 1 :] = tails[1:] * gaps
+        _, grad = loss_and_gradient(params, rows, cols, values, grades, n_features, l2)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
         params -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -140,15 +159,41 @@ def best_cut(severity: np.ndarray, toxic: np.ndarray) -> float:
     return float((severity[order[at]] + low) / 2)
 
 
+def derived_grades(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, toxic: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """0 for clean documents; for toxic ones 1 to ``GRADES - 1`` by thirds of their density of cues, which are found in the other half of the documents."""
+    half = np.arange(len(toxic)) % 2
+    density = np.zeros(len(toxic))
+    for h in (0, 1):
+        held, n_toxic = half == h, int(toxic[half == h].sum())
+        n_clean = int(held.sum()) - n_toxic
+        a = np.bincount(cols[(held & (toxic == 1))[rows]], minlength=len(usable))
+        d = np.bincount(cols[held[rows]], minlength=len(usable))
+        pull = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((d - a + 0.5) / (n_clean - d + a + 0.5))
+        cue = usable & (pull > 2) & (d >= MIN_DOCS // 2)
+        density += np.where(half != h, np.bincount(rows, values * cue[cols], len(toxic)), 0.0)
+    marks = np.quantile(density[toxic == 1], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
+    return np.where(toxic == 1, 1 + np.searchsorted(marks, density, "right"), 0)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """At most ``rows`` rows, one a doc_id: doc_id, toxic, text."""
+    marked = pick(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    plain = pick(docs, "doc_id", "text")
+    found = marked.join(plain.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = found.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(rows)  # the documented bound
+    of_id = plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
+    return of_id.agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model | None:
     """Fits the model on at most ``rows`` labelled documents; None if the sample lacks toxic or clean ones.
 
-    Rows of ``labels`` without doc_id or toxic are left out; a document labelled
-    more than once counts as toxic if any of its labels says so.
+    Rows of ``labels`` without doc_id or toxic, and those whose document isn't in
+    ``docs``, are left out before the bound; a document labelled more than once
+    counts as toxic if any of its labels says so. A doc_id that repeats in
+    ``docs`` counts once, with the text of the smallest hash.
     """
-    marked = pick(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    marked = marked.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(rows)  # the documented bound
-    sample = materialise(pick(docs, "doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", "text"), "labelled")
+    sample = materialise(labelled_sample(docs, labels, rows), "labelled")
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents and toxic documents that use each feature, added up before they leave the task."""
@@ -183,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, feature
     if not best:
         return None
     index = {r["f"]: i for i, r in enumerate(best)}
-    cue = np.array([r["pull"] > 3 and r["f"][0] == "w" for r in best])
+    whole = np.array([r["f"][0] != "b" for r in best])
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +240,12 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, feature
                 names=["doc_id", "toxic", "i", "v"],
             )
 
-    got = sorted(sample.mapInArrow(vectors, "doc_id long, toxic int, i array<int>, v array<double>").collect(), key=lambda r: r["doc_id"])  # at most ``rows`` short rows
+    got = sorted(sample.mapInArrow(vectors, "doc_id long, toxic int, i array<int>, v array<double>").collect(), key=lambda r: r["doc_id"])  # at most ``rows`` rows of at most ``features`` numbers
     toxic = np.array([r["toxic"] for r in got])
     rows_ = np.repeat(np.arange(len(got)), [len(r["i"]) for r in got])
     cols = np.concatenate([np.array(r["i"], np.int64) for r in got])
     values = np.concatenate([np.array(r["v"]) for r in got])
-    density = np.bincount(rows_, values * cue[cols], len(got))
-    marks = np.quantile(density[toxic == 1], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
-    grades = np.where(toxic == 1, 1 + np.searchsorted(marks, density, "right"), 0)
+    grades = derived_grades(rows_, cols, values, toxic, whole)
     weights, thetas = fit_ordinal(rows_, cols, values, grades, len(index))
     severity = expected_grade(np.bincount(rows_, values * weights[cols], len(got)), thetas)
     return Model(index, weights, thetas, best_cut(severity, toxic))
@@ -245,14 +288,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     A null or empty text has no features: its severity is the model's base rate,
     and it isn't toxic unless every text is. Rows with a null or repeated doc_id
-    are graded each for itself; an empty table gives an empty one; other columns
-    are ignored.
+    are graded each for itself; an empty table, or one without labelled toxic
+    and clean documents, is all clean; other columns are ignored. Texts are read
+    whole, whatever their length or script.
     """
     return grade(docs, train(docs, labels, **options))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all their columns; the model is trained on those of them that are labelled."""
+    """The rows of ``docs`` that aren't toxic, with all their columns, whatever their names; the model is trained on those of them that are labelled.
+
+    Each row is judged for itself, repeats alike. Rows without text stay, and so
+    does every row where ``labels`` has no toxic or no clean document of ``docs``.
+    An empty table gives an empty one.
+    """
     model = train(docs, labels, **options)
     return filter_arrow(docs, _grader(docs.sparkSession, model, None, docs.columns.index("text")))
 

@@ -178,6 +178,60 @@ def test_ordinal_gradient_and_order():
     assert np.abs(toxicity.expected_grade(x @ w, thetas) - grades).mean() < 0.5
 
 
+def test_ordinal_gradient_against_finite_differences():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)) * (rng.random((60, 4)) < 0.6)
+    rows, cols = np.nonzero(x)
+    grades = rng.integers(0, 4, 60)
+    for _ in range(5):
+        params = rng.normal(size=4 + 3) * 0.7
+        _, grad = toxicity.loss_and_gradient(params, rows, cols, x[rows, cols], grades, 4, 0.01)
+        for i in range(len(params)):
+            e = np.zeros(len(params))
+            e[i] = 1e-6
+            up, down = (toxicity.loss_and_gradient(params + s * e, rows, cols, x[rows, cols], grades, 4, 0.01)[0] for s in (1, -1))
+            assert abs((up - down) / 2e-6 - grad[i]) < 1e-5
+
+
+def test_toxicity_sample_is_bounded_by_documents(spark):
+    """A doc_id that repeats 10,000 times counts once, and labels without a document don't use up the bound."""
+    rows, marks = toxic_corpus(300)
+    rows += [(7, f"again {i}") for i in range(10_000)] + [(None, "nobody")] * 50
+    marks = [*marks, *[(i, 1, i % 2) for i in range(5000, 9000)], (7, 1, 0), (7, 0, 1)]
+    docs = brute.docs_frame(spark, rows)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.labelled_sample(docs, labels, 100).collect()
+    assert len(got) == 100 and len({r["doc_id"] for r in got}) == 100 and all(r["doc_id"] < 300 for r in got)
+    whole = {r["doc_id"]: r for r in toxicity.labelled_sample(docs, labels, 10**6).collect()}
+    assert len(whole) == 150 and whole[7]["toxic"] == 1
+    assert toxicity.toxicity(docs, labels).count() == len(rows)
+
+
+def test_toxicity_reads_whole_words_and_unspaced_scripts(spark):
+    long = "a" * 70
+    assert toxicity.features_of_chunk(long + "x")[0] != toxicity.features_of_chunk(long + "y")[0]
+    assert "g:坏词" in toxicity.features_of_chunk("好" * 100 + "坏词" + "好" * 100)
+    rnd = random.Random(6)
+    clean = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    rows = []
+    for i in range(1200):
+        text = "".join(rnd.choice(clean) for _ in range(rnd.randint(40, 90)))
+        at = rnd.randrange(20, len(text))
+        rows.append((i, text[:at] + "恶毒" + text[at:] if i % 5 == 0 else text))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(brute.docs_frame(spark, rows), labels).collect()
+    assert sum(r["is_toxic"] == (r["doc_id"] % 5 == 0) for r in got if r["doc_id"] >= 800) >= 0.95 * 400
+
+
+def test_toxicity_awkward_rows_under_a_model(spark, docs):
+    rows, marks = toxic_corpus()
+    frame = brute.docs_frame(spark, rows + [(i, t) for i, t in ROWS if i is None or i >= 1000])
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(frame, labels).collect()
+    assert len(got) == frame.count()
+    assert not any(r["is_toxic"] for r in got if r["doc_id"] is None or r["doc_id"] >= 1000)
+
+
 def test_simhash(docs):
     got = simhash_dedup.simhash_groups(docs)
     want, groups = brute.near(ROWS)
