@@ -17,8 +17,10 @@ from frametide.sources.scratch import discard, written as materialise  # noqa: F
 #: ASCII white space, the separators of every word rule in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Column that numbers the rows of a written copy of documents.
+#: Column that numbers the rows of documents.
 UID = "frametide_row_uid"
+#: Most files whose names are broadcast to number their rows, and most row numbers, 8 bytes each, that are.
+MOST_FILES, MOST_BROADCAST = 20_000, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,18 +48,39 @@ def filter_arrow(docs: DataFrame, run: Callable) -> DataFrame:
     return plain.mapInArrow(run, plain.schema).toDF(*cols)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``UID``, the same number for a row in every reading.
+
+    Where ``docs`` is read straight from files, that is the file's place among
+    its files and the row's place in it, and nothing is written. Anything else
+    is numbered in a written copy.
+    """
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    known = "_metadata" not in [c.lower() for c in docs.columns]  # a column of that name hides what Spark knows of files
+    if known and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        place = plain.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        files = sorted(r["_file"] for r in place.select("_file").distinct().limit(MOST_FILES + 1).collect())  # reads footers only
+        if 0 < len(files) <= MOST_FILES:
+            numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_no long, _file string")
+            return place.join(F.broadcast(numbers), "_file").withColumn(UID, F.shiftleft("_no", 40) + F.col("_row")).drop("_file", "_row", "_no")
+    return materialise(plain.withColumn(UID, F.monotonically_increasing_id()), "numbered")
+
+
 def keep_rows(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of ``docs`` that ``decide`` keeps, with all their columns, whatever their names.
 
-    Rows are numbered once, in a written copy, so that rows which repeat wholly
-    can be told apart. ``decide`` gets doc_id, text and ``UID`` and returns the
-    ``UID`` of each row that stays.
+    Rows are numbered, so that rows which repeat wholly can be told apart.
+    ``decide`` gets doc_id, text and ``UID`` and returns ``UID`` and kept for each
+    row. The numbers of the rows that go are broadcast if they are at most
+    ``MOST_BROADCAST``: then texts don't move. Beyond that both sides are
+    shuffled.
     """
     cols = docs.columns
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))]).withColumn(UID, F.monotonically_increasing_id())
-    plain = materialise(plain, "numbered")
+    plain = _numbered(docs)
     view = plain.select(*[F.col(f"_c{cols.index(n)}").alias(n) for n in ("doc_id", "text")], UID)
-    return plain.join(decide(view).select(UID), UID, "left_semi").drop(UID).toDF(*cols)
+    gone = materialise(decide(view).filter("NOT kept").select(UID), "gone")
+    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    return plain.join(side, UID, "left_anti").drop(UID).toDF(*cols)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -3,7 +3,7 @@
 Alternating large-star and small-star rounds: every vertex repeatedly links its
 neighbours to the smallest vertex that it knows, until each component is a star
 around its smallest vertex. A round is two joins of edges with one row a vertex;
-adaptive execution splits the partition of a vertex with very many neighbours.
+a vertex with very many neighbours has its edges dealt over repeats of its row.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frametide.llm._common import materialise
+from frametide.llm._common import discard, materialise, skew_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,11 +19,12 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """``edges`` have u > v. Large: links each larger neighbour of a vertex to its least one; small: each smaller neighbour, and itself."""
+def _stars(edges: DataFrame, n: int, large: bool) -> DataFrame:
+    """``edges``, ``n`` of them, have u > v. Large: links each larger neighbour of a vertex to its least one; small: each smaller neighbour, and itself."""
     near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = near.join(least, "u")
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    least = materialise(least, "least")
+    joined = skew_join(near, least, ["u"], "n", 2 * n if large else n, ["v"])
     if large:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -39,6 +40,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = materialise(now, label)
     before, state = None, _state(now)
     while state != before and state[0]:
-        now = materialise(_stars(_stars(now, large=True).distinct(), large=False).filter("u <> v").distinct(), label)
-        before, state = state, _state(now)
+        large = materialise(_stars(now, state[0], large=True).distinct(), label)
+        small = materialise(_stars(large, state[0], large=False).filter("u <> v").distinct(), label)
+        discard(now, large)
+        now, before, state = small, state, _state(small)
     return now

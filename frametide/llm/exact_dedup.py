@@ -154,8 +154,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    return keep_rows(docs, lambda rows: exact_dedup(rows).filter("kept").select(F.col("uid").alias(UID)))
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever their names.
+
+    Nulls, blanks, ties, repeats and empty tables: as in :func:`exact_dedup`.
+    """
+    return keep_rows(docs, lambda rows: exact_dedup(rows).select(F.col("uid").alias(UID), "kept"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

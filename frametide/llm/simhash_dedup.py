@@ -45,6 +45,15 @@ _FRONTIER = 200_000
 _LEAF_PAIRS = 64
 
 
+def count_bits(words: np.ndarray) -> np.ndarray:
+    """How many rows of 64-bit words set each bit, from the highest bit of the first word on."""
+    raw = words.astype(">u8").view(np.uint8).reshape(len(words), -1)
+    counts = np.zeros(8 * raw.shape[1], np.int64)
+    for at in range(0, len(raw), 255):  # sums of so many bits fit a byte
+        counts += np.unpackbits(raw[at : at + 255], axis=1).sum(axis=0, dtype=np.uint8)
+    return counts
+
+
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned fingerprint of a text; 0 if it has no words."""
     words = text.encode().lower().split()  # of bytes: A-Z only, ASCII white space only
@@ -62,7 +71,7 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     tails = ends[shingle - 1 :].tolist()
     for at in range(0, n, 1 << 16):
         raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], tails[at : at + (1 << 16)])])
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        counts += count_bits(np.frombuffer(raw, ">u8")[:, None])
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
@@ -83,7 +92,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", fp long")
 
 
-class _Forest:
+class Forest:
     """Union-find over positions, with whole arrays at a time."""
 
     def __init__(self, n: int):
@@ -129,7 +138,7 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, err: int, part_b
     values = a if alone else np.concatenate([a, b])
     shift = 0 if alone else len(a)
     b = a if alone else b
-    forest = _Forest(len(values))
+    forest = Forest(len(values))
     for base, side in ((0, a),) if alone else ((0, a), (shift, b)):  # neighbours in order, which connects most of a dense family at once
         near = np.flatnonzero(np.bitwise_count(side[1:] ^ side[:-1]) <= max_bits)
         forest.link(base + near, base + near + 1)
@@ -255,8 +264,11 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of :func:`simhash_groups`, with all its columns."""
-    return keep_rows(docs, lambda rows: simhash_groups(rows).filter("kept"))
+    """One row of each group of :func:`simhash_groups`, with all its columns, whatever their names.
+
+    Nulls, blanks, ties, repeats and empty tables: as in :func:`simhash_groups`.
+    """
+    return keep_rows(docs, simhash_groups)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

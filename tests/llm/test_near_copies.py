@@ -2,7 +2,10 @@ import random
 
 import brute
 import corpus_pipeline
-from frametide.llm import near_copies
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+from frametide.llm import near_copies, simhash_dedup
 
 
 def jaccard_sets(text):
@@ -10,8 +13,16 @@ def jaccard_sets(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def bits(text):
+    """A text's fingerprint, one shingle and one bit at a time."""
+    words = [w for w in brute.SPACE.split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    found = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    sets = [near_copies.spread(np.array([xxhash.xxh64_intdigest(f.encode(), 42)], np.uint64))[0].tolist() for f in found]
+    return [2 * sum(s[i // 64] >> (63 - i % 64) & 1 for s in sets) > len(sets) for i in range(64 * near_copies.WORDS)]
+
+
 def linked(rows):
-    sets = [jaccard_sets(t) for _, t in rows]
+    prints = np.array([bits(t) for _, t in rows])
     root = list(range(len(rows)))
 
     def find(x):
@@ -20,9 +31,8 @@ def linked(rows):
         return x
 
     for a in range(len(rows)):
-        for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                root[find(a)] = find(b)
+        for b in np.flatnonzero((prints[:a] != prints[a]).sum(axis=1) <= near_copies.budget()).tolist():
+            root[find(a)] = find(b)
     least = {}
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
@@ -64,12 +74,81 @@ def test_stage_drops_copies_at_four_fifths(spark):
     rows = corpus() + brute.awkward_docs()
     docs = brute.docs_frame(spark, rows).repartition(5)
     want, n = linked(rows)
-    got = near_copies.near_groups(docs).collect()
-    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
-    assert sum(r["kept"] for r in got) == n
+    for block in (near_copies.BLOCK, 7):  # a unit a bucket, and many
+        got = near_copies.near_groups(docs, block=block).collect()
+        assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
+        assert sum(r["kept"] for r in got) == n
     left = corpus_pipeline.near_copies(spark, docs, "")
     assert left.columns == docs.columns and left.count() == n
 
 
+def test_links_follow_similarity():
+    """Pairs of which the larger share of shingles is common are linked from 0.82 on, hardly any under 0.7."""
+    rnd = random.Random(8)
+    seen = {"high": [], "low": []}
+    for i in range(600):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(60, 300))]
+        a, b = " ".join(base), " ".join(edited(rnd, base, rnd.choice((0.005, 0.01, 0.02, 0.03, 0.05, 0.08))))
+        x, y = jaccard_sets(a), jaccard_sets(b)
+        share = len(x & y) / len(x | y)
+        fps = [np.frombuffer(near_copies.fingerprint(near_copies.shingles(t)).tobytes(), np.uint64) for t in (a, b)]
+        near = int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= near_copies.budget()
+        met = bool(set(near_copies.buckets(near_copies.shingles(a)).tolist()) & set(near_copies.buckets(near_copies.shingles(b)).tolist()))
+        if share >= 0.82:
+            seen["high"].append(near and met)
+        if share < 0.7:
+            seen["low"].append(near)
+    assert len(seen["high"]) > 100 and sum(seen["high"]) >= 0.98 * len(seen["high"])
+    assert len(seen["low"]) > 100 and sum(seen["low"]) <= 0.02 * len(seen["low"])
+
+
+def test_walk_against_all_pairs():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, (900, near_copies.WORDS), np.uint64)
+    flip = lambda rows, k: rows ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, rows.shape).astype(np.uint64) for _ in range(k)])
+    fps = np.concatenate([base, flip(base[:300], 5), flip(base[:200], 10), flip(np.repeat(base[:1], 500, axis=0), 7)])
+    fps = fps[np.lexsort(fps.T[::-1])]
+    label = near_copies.wide_links(fps, 161)
+    forest = simhash_dedup.Forest(len(fps))
+    for i in range(len(fps)):
+        j = np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]).sum(axis=1) <= 161)
+        forest.link(np.full(len(j), i), j)
+    assert (label == forest.label).all() and 1 < len(set(label.tolist())) < len(fps)
+
+
 def test_empty(spark):
     assert near_copies.drop_near_copies(brute.docs_frame(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_components_of_a_hub(spark):
+    """A vertex with very many neighbours: its edges are dealt over many keys, and every one comes out right."""
+    from frametide.llm import _common, _components
+
+    edges = spark.range(1, 60_000).select("id", (F.col("id") * 0).alias("v")).toDF("u", "v")
+    found = _components.components(edges.unionByName(spark.range(100_000, 100_050).selectExpr("id u", "id + 1 v")))
+    assert found.filter("v = 0").count() == 59_999 and found.filter("v = 100000").count() == 50
+    hub = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = hub.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = _common.skew_join(hub, least, ["u"], "n", 60_000, ["v"])
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert joined.count() == 59_999 and max(r["count"] for r in sizes) < 30_000
+
+
+def test_rows_are_numbered_alike_in_every_reading(spark, tmp_path):
+    """Rows that repeat wholly: one of each stays, from files and from any other table."""
+    from frametide.llm import exact_dedup
+
+    rows = [(i % 5, f"text {i % 5}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    frame.write.parquet(f"{tmp_path}/d")
+    for docs in (spark.read.parquet(f"{tmp_path}/d"), frame, spark.read.parquet(f"{tmp_path}/d").filter("doc_id < 9")):
+        assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_copies(docs).collect()) == list(range(5))
+    clash = frame.select("*", F.col("text").alias("TEXT"), F.lit(1).alias("kept"), F.lit(2).alias("_metadata"), F.lit(3).alias("_c0"))
+    clash.select("doc_id", "`kept`", F.lit("a").alias("frametide_row_uid"), "_metadata", "_c0", frame["text"]).write.parquet(f"{tmp_path}/e")
+    read = spark.read.parquet(f"{tmp_path}/e")
+    left = exact_dedup.drop_exact_copies(read)
+    assert left.columns == read.columns and left.count() == 5

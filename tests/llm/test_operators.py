@@ -252,7 +252,7 @@ def test_trie_join_against_all_pairs(spark):
         found = {r["u"]: r["v"] for r in simhash_dedup.components(edges).collect()}
         label = np.arange(len(v))
         x, y = np.nonzero(np.bitwise_count(v[:, None] ^ v[None, :]) <= 4)
-        forest = simhash_dedup._Forest(len(v))
+        forest = simhash_dedup.Forest(len(v))
         forest.link(x, y)
         groups = {}
         for i, r in enumerate(forest.label):
