@@ -14,7 +14,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Chunks in each of a worker cache's two generations.
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 200_000
 #: Longer chunks are encoded afresh each time.
 CACHE_CHARS = 48
 
@@ -123,11 +123,20 @@ class ChunkLengths(_Cache):
         return len(self.encoder.ids(chunk))
 
 
+#: Bytes that a packed id takes until it is handed out; a larger vocabulary fails when it is loaded.
+ID_BYTES = 2
+
+
 class ChunkIds(_Cache):
-    """Chunk -> its ids as packed unsigned 32-bit integers."""
+    """Chunk -> its ids as packed unsigned integers of ``ID_BYTES``."""
+
+    def __init__(self, path: str, start: dict):
+        super().__init__(path, start)
+        if self.encoder.tok.get_vocab_size() > 1 << 8 * ID_BYTES:
+            raise ValueError(f"{path}: ids don't fit {ID_BYTES} bytes")
 
     def value(self, chunk: str) -> bytes:
-        return array("I", self.encoder.ids(chunk)).tobytes()
+        return array("H", self.encoder.ids(chunk)).tobytes()
 
 
 _IDS: dict[str, ChunkIds] = {}

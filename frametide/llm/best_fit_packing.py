@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frametide.llm._common import materialise, pick, table
-from frametide.llm._words import chunks, id_cache, tokenizer_path
+from frametide.llm._words import ID_BYTES, chunks, id_cache, tokenizer_path
 
 WIDTH = 4096
 END_ID = 1
@@ -36,11 +36,12 @@ def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokeniz
     """Tokenises every whole text and cuts what is longer than ``width``.
 
     Columns: doc_id, piece, start, length, task and local_rank (the piece's
-    number among those of its length in its task), and ids (binary) if
-    ``keep_ids``, else their ids_crc32.
+    number among those of its length in its task), and ids (binary, ``ID_BYTES``
+    each) if ``keep_ids``, else their ids_crc32.
     """
     path = tokenizer_path("word_bpe_49k.json", tokenizer)
-    end = end_id.to_bytes(4, "little")
+    wide = ID_BYTES
+    end = end_id.to_bytes(wide, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -59,10 +60,10 @@ def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokeniz
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = b"".join(map(ids_of, chunks(text.as_py() or ""))) + end
-                for n, at in enumerate(range(0, len(ids), 4 * width)):
-                    part = ids[at : at + 4 * width]
-                    size = len(part) // 4
-                    rows.append((doc, n, at // 4, size, part if keep_ids else zlib.crc32(part), task, ranks[size]))
+                for n, at in enumerate(range(0, len(ids), wide * width)):
+                    part = ids[at : at + wide * width]
+                    size = len(part) // wide
+                    rows.append((doc, n, at // wide, size, part if keep_ids else zlib.crc32(widened(part)), task, ranks[size]))
                     ranks[size] += 1
                 held += len(ids)
                 if keep_ids and held > BATCH_BYTES:
@@ -75,6 +76,11 @@ def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokeniz
     return docs.mapInArrow(run, f"doc_id long, piece int, start long, length long, {'ids binary' if keep_ids else 'ids_crc32 long'}, task int, local_rank long")
 
 
+def widened(ids: bytes) -> bytes:
+    """Packed ids as little-endian unsigned 32-bit integers."""
+    return np.frombuffer(ids, f"<u{ID_BYTES}").astype("<u4").tobytes()
+
+
 def plan_slots(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, int, int, int, int]]:
     """Best-fit decreasing over counts: slots (length, first_rank, count, first_sequence, offset).
 
@@ -141,8 +147,8 @@ def _place(slots: list[tuple[int, int, int, int, int]], rank_bits: int = 44):
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             at = np.searchsorted(keys, (length << rank_bits) + rank, "right") - 1
-            columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "rank"]
             names = [n for n in batch.schema.names if n != "rank"]
+            columns = [pa.array([widened(x.as_py()) for x in batch.column(n)], pa.binary()) if n == "ids" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(first_sequence[at] + rank - first_rank[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
 
     return run
