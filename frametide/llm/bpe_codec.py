@@ -15,7 +15,6 @@ Decoding gathers the bytes of all ids from one blob through a table of offsets.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 
@@ -243,6 +242,20 @@ def codec(path: str) -> ByteBpe:
     return _CODECS[path]
 
 
+def _by_size(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], size: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of about ``limit`` bytes in the column of place ``size``."""
+    held, out = 0, []
+    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[] for _ in kinds], kinds)], names=names)
+    for row in rows:
+        out.append(row)
+        held += len(row[size])
+        if held > limit:
+            yield batch_of()
+            held = 0
+            out.clear()
+    yield batch_of()
+
+
 def encode_texts(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     """Encodes every whole text: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit).
 
@@ -257,31 +270,43 @@ def encode_texts(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [bpe.encode(t.as_py() or "") for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            ids = ((d, bpe.encode(t.as_py() or "")) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")))
+            yield from _by_size(((d, len(i) // 4, i) for d, i in ids), ["doc_id", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.binary()], 2)
 
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode_ids(encoded: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
-    """Decodes packed ids: doc_id, n_tokens, ids_sha256, text. A null list of ids counts as empty."""
+    """Decodes packed ids: doc_id, n_tokens, ids, text. A null list of ids counts as empty; rows are decoded each for itself; other columns are ignored."""
     path = tokenizer_path("byte_bpe_50k.json", tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
-            ids = [i.as_py() or b"" for i in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array([bpe.decode(i) for i in ids], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "text"],
-            )
+            ids = ((d, i.as_py() or b"") for d, i in zip(batch.column("doc_id").to_pylist(), batch.column("ids")))
+            yield from _by_size(((d, len(i) // 4, i, bpe.decode(i)) for d, i in ids), *_DECODED)
+
+    return pick(encoded, "doc_id", "ids").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+
 
-    return pick(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text string")
+_DECODED = (["doc_id", "n_tokens", "ids", "text"], [pa.int64(), pa.int64(), pa.binary(), pa.string()], 2)
+
+
+def round_trip(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
+    """:func:`encode_texts`, then :func:`decode_ids`, by one worker in one pass: doc_id, n_tokens, ids, text (as decoded). Edge cases are those of the two."""
+    path = tokenizer_path("byte_bpe_50k.json", tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path)
+        for batch in batches:
+            ids = ((d, bpe.encode(t.as_py() or "")) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")))
+            yield from _by_size(((d, len(i) // 4, i, bpe.decode(i)) for d, i in ids), *_DECODED)
+
+    docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    done = round_trip(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
