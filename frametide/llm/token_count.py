@@ -2,9 +2,11 @@
 
 Tier one is a compact table, pre-token -> number of tokens, of the pre-tokens
 that are frequent in the corpus. It has at most ``table_rows`` entries, is built
-once and broadcast. Tier two is a bounded cache in each Python worker: what tier
-one misses is encoded with the library once and remembered. Counting is then one
-dictionary lookup a pre-token, and no pre-token ever leaves its task.
+once and broadcast. All of the corpus is counted for it: each task sends on its
+``TASK_ROWS`` most frequent pre-tokens, and these short lists are added up. Tier
+two is a bounded cache in each Python worker: what tier one misses is encoded
+with the library once and remembered. Counting is then one dictionary lookup a
+pre-token, and no text's pre-tokens ever leave their task.
 
 The table only saves time: counts are the library's with any table, also an
 empty one.
@@ -20,42 +22,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frametide.llm._common import pick, table
-from frametide.llm._words import ChunkLengths, chunks, tokenizer_path
+from frametide.llm._words import CACHE_CHARS, ChunkLengths, chunks, tokenizer_path
 
 #: Most entries of the broadcast table, about 2 MB.
 TABLE_ROWS = 32_768
-#: The table is learnt from so many input splits, spread evenly over the input.
-TABLE_SPLITS = 6
+#: Most pre-tokens that one task puts forward for it.
+TASK_ROWS = 4_096
 
 _CACHES: dict[tuple[str, int], ChunkLengths] = {}
 
 
-def frequent_lengths(docs: DataFrame, path: str, rows: int = TABLE_ROWS, splits: int = TABLE_SPLITS) -> dict[str, int]:
-    """The broadcast tier: token counts of the most frequent pre-tokens of ``splits`` input splits.
-
-    Each split is counted where it is and sends its ``rows`` most frequent
-    pre-tokens only.
-    """
+def frequent_lengths(docs: DataFrame, path: str, rows: int = TABLE_ROWS, task_rows: int = TASK_ROWS) -> dict[str, int]:
+    """The broadcast tier: token counts of the ``rows`` pre-tokens that tasks put forward most often."""
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0):
                 seen.update(chunks(text.as_py() or ""))
-            if len(seen) > 40 * rows:  # lossy counting: the rare ones go
-                seen = Counter(dict(seen.most_common(4 * rows)))
-        best = [(c, n) for c, n in seen.most_common(rows) if len(c) <= 48]
+                if len(seen) > 40 * task_rows:  # lossy counting: the rare ones go
+                    seen = Counter(dict(seen.most_common(4 * task_rows)))
+        best = [(c, n) for c, n in seen.most_common(task_rows) if len(c) <= CACHE_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["chunk", "n"])
 
-    rdd = docs.select("text").mapInArrow(top, "chunk string, n long").rdd
-    count = rdd.getNumPartitions()
-    wanted = sorted({i * count // splits for i in range(splits)}) if count else []
-    total: Counter[str] = Counter()
-    for row in docs.sparkSession.sparkContext.runJob(rdd, list, wanted) if wanted else []:
-        total[row["chunk"]] += row["n"]
-    best = [c for c, _ in total.most_common(rows)]
+    total = docs.select("text").mapInArrow(top, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    best = total.orderBy(F.desc("n"), "chunk").limit(rows).collect()  # at most ``rows`` rows
     lengths = ChunkLengths(path, {})
-    return {c: lengths[c] for c in best}
+    return {r["chunk"]: lengths[r["chunk"]] for r in best}
 
 
 def _counter(path: str, shared, limit: int) -> Callable:
@@ -93,7 +86,7 @@ class _Shared:
         return self.broadcast.value
 
 
-def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int = 2048, table_rows: int = TABLE_ROWS, table_splits: int = TABLE_SPLITS) -> DataFrame:
+def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int = 2048, table_rows: int = TABLE_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Counts the tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit.
 
     ``tokenizer`` is the path of a ``word_bpe`` file, word_bpe_49k.json by
@@ -106,7 +99,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int =
     """
     path = tokenizer_path("word_bpe_49k.json", tokenizer)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    shared = _Shared(docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, table_rows, table_splits)))
+    shared = _Shared(docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, table_rows, task_rows)))
     return docs.mapInArrow(_counter(path, shared, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 

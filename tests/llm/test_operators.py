@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from frametide.llm import best_fit_packing, bpe_codec, chat_format, exact_dedup, license_scan, quality_rules, sharding, simhash_dedup, token_count, toxicity
@@ -55,17 +56,27 @@ def test_token_counts(docs):
     for i, t in ROWS:
         n = len(brute.tok("word_bpe_49k.json").encode(t or "", add_special_tokens=False).ids)
         want.append((i, len((t or "").encode()), n, n > 2048))
-    for options in ({}, {"table_rows": 5, "table_splits": 1}):
+    for options in ({}, {"table_rows": 5, "task_rows": 3}):
         assert rows_of(token_count.token_counts(docs, **options), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=key)
 
 
+def test_frequent_words_come_from_every_split(spark):
+    import public_tokenizers
+
+    rows = [(i, f"word{i % 8} " * 50 + f"rare{i}") for i in range(64)]  # a split a topic
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, (F.col("doc_id") % 8)).select("doc_id", "text")
+    assert set(token_count.frequent_lengths(docs, public_tokenizers.path("word_bpe_49k.json"), 8)) == {f"word{i}" for i in range(8)}
+
+
 def test_bpe_round_trip(docs):
     tok = brute.tok("byte_bpe_50k.json")
     want = []
     for i, t in ROWS:
         ids = tok.encode(t or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), tok.decode(ids, skip_special_tokens=False)))
-    assert rows_of(bpe_codec.decode_ids(bpe_codec.encode_texts(docs)), "doc_id", "n_tokens", "ids_sha256", "text") == sorted(want, key=key)
+    for done in (bpe_codec.decode_ids(bpe_codec.encode_texts(docs)), bpe_codec.round_trip(docs)):
+        got = done.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) ids_sha256", "text")
+        assert rows_of(got, "doc_id", "n_tokens", "ids_sha256", "text") == sorted(want, key=key)
 
 
 def test_bpe_every_token_and_random_text():
@@ -414,7 +425,7 @@ def test_sharding_writes_whole_texts(spark, docs, tmp_path):
 def test_empty_tables(spark, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
     assert token_count.token_counts(empty).count() == 0
-    assert bpe_codec.decode_ids(bpe_codec.encode_texts(empty)).count() == 0
+    assert bpe_codec.decode_ids(bpe_codec.encode_texts(empty)).count() == 0 and bpe_codec.round_trip(empty).count() == 0
     assert simhash_dedup.simhash_groups(empty).count() == 0 and simhash_dedup.drop_near_copies(empty).count() == 0
     assert license_scan.license_scan(empty).count() == 0
     assert quality_rules.quality_rules(empty).count() == 0
