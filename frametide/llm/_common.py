@@ -91,22 +91,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
 HEAVY_KEYS = 2048
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: list[str]) -> DataFrame:
-    """Inner join of many rows with a table that has each key once, whatever share of the rows one key holds.
-
-    ``weight`` counts a key's left rows, ``total`` all of them. Keys with more
-    than ``total / HEAVY_KEYS`` rows number fewer than ``HEAVY_KEYS``; only these
-    keys are broadcast, so the bound holds at any size. A heavy key's right row
-    is repeated once for each such share of left rows, and its left rows are
-    dealt over the repeats by a hash of ``spread``. The result has the columns of
-    both sides, the keys once, without ``weight``. Null keys match nothing.
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: list[str], weights: DataFrame | None = None) -> DataFrame:
+    """Inner join of many rows with a table that has few rows a key, whatever share of the rows one key holds.
+
+    ``weight`` counts a key's left rows, ``total`` all of them. It is a column of
+    ``right``, which then has each key once, or of ``weights``, which has each
+    key once instead. Keys with more than ``total / HEAVY_KEYS`` rows number fewer
+    than ``HEAVY_KEYS``; only these keys are broadcast, so the bound holds at any
+    size. A heavy key's right rows are repeated once for each such share of left
+    rows, and its left rows are dealt over the repeats by a hash of ``spread``.
+    The result has the columns of both sides, the keys once, without ``weight``.
+    Null keys match nothing.
     """
     limit = max(64, -(-total // HEAVY_KEYS))
     copies = F.greatest(F.ceil(F.col(weight) / F.lit(limit)), F.lit(1)).cast("int")
-    heavy = right.filter(F.col(weight) > limit).select(*keys, copies.alias("_copies"))
-    dealt = left.join(F.broadcast(heavy), keys, "left")
+    heavy = F.broadcast((right if weights is None else weights).filter(F.col(weight) > limit).select(*keys, copies.alias("_copies")))
+    dealt = left.join(heavy, keys, "left")
     salt = F.when(F.col("_copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_copies")).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(weight)
+    if weights is not None:
+        right, copies = right.join(heavy, keys, "left"), F.coalesce("_copies", F.lit(1))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(weight, "_copies")
     return dealt.withColumn("_salt", salt).drop("_copies").join(repeated, [*keys, "_salt"]).drop("_salt")
 
 

@@ -11,7 +11,9 @@ those of its ancestors, merged where they touch.
 No tree is ever gathered in a task. Nodes are made by an aggregation on their
 hash. Depth-first order is the order of conversations sorted by their path of
 hashes: a node is emitted with the first conversation that passes through it.
-Places are prefix sums over sorted ranges.
+Places are prefix sums over sorted ranges. A conversation is read back from the
+emission alone: what its last node may attend to, interval by interval, and then
+that node.
 
 Template: ``<turn>ROLE\\nTEXT</turn>\\n``. In texts and roles a backslash goes
 before every backslash and every ``<``; in a role a line feed becomes
@@ -75,25 +77,27 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 @dataclass
 class Forest:
-    """``nodes``: node, parent, depth, role, formatted, start (in the emission), chars, position, loss_start and loss_chars (code points of ``formatted`` under the loss mask), attention (array of start and end), n_conversations.
+    """``nodes``: node, parent, depth, formatted, start (in the emission), chars, position, loss_start and loss_chars (code points of ``formatted`` under the loss mask), attention (array of start and end), n_conversations.
 
-    ``members``: uid (of the conversation), conv_id, depth, node: which nodes, in which order, make up a conversation.
+    ``conversations``: uid, conv_id and node, the last of the conversation.
     """
 
     nodes: DataFrame
-    members: DataFrame
+    conversations: DataFrame
 
 
-_CHAIN = "uid long, conv_id long, depth int, node string, parent string, role string, formatted string, position long, chars long, loss_start long, loss_chars long, path binary"
+_CHAIN = "uid long, conv_id long, depth int, node binary, parent binary, formatted string, position long, chars long, loss_start long, loss_chars long, path binary"
+#: Code points of the emission by whose number nodes and the intervals that reach them are joined.
+PAGE = 2048
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From turns sorted by conversation: a row for each turn, and after the last one a row with the conversation's path."""
     names = [c.split()[0] for c in _CHAIN.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4, *[pa.int64()] * 4, pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), *[pa.int64()] * 4, pa.binary()]
     uid = TaskContext.get().partitionId() << 33
     rows: list[tuple] = []
-    size, started, conv, depth, node, position, path = 0, False, None, 0, "", 0, bytearray()
+    size, started, conv, depth, node, position, path = 0, False, None, 0, b"", 0, bytearray()
 
     def batch_of() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -101,17 +105,17 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for conv_id, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role"), batch.column("text")):
             if started and conv_id != conv:
-                rows.append((uid, conv, depth, node, None, None, None, None, None, None, None, bytes(path)))
+                rows.append((uid, conv, depth, node, None, None, None, None, None, None, bytes(path)))
                 uid += 1
             if not started or conv_id != conv:
-                started, conv, depth, node, position, path = True, conv_id, 0, "", 0, bytearray()
+                started, conv, depth, node, position, path = True, conv_id, 0, b"", 0, bytearray()
             role, text = role.as_py() or "", text.as_py() or ""
             formatted = render(role, text)
-            digest = hashlib.sha256(f"{node}\n{formatted}".encode()).digest()[:16]
-            parent, node = node or None, digest.hex()
+            digest = hashlib.sha256(node + b"\n" + formatted.encode()).digest()[:16]
+            parent, node = node or None, digest
             head = len(OPEN) + len(escape_role(role)) + 1
             loss = len(formatted) - head - len(CLOSE) if role == LOSS_ROLE else 0
-            rows.append((uid, conv, depth, node, parent, role, formatted, position, len(formatted), head if role == LOSS_ROLE else 0, loss, None))
+            rows.append((uid, conv, depth, node, parent, formatted, position, len(formatted), head if role == LOSS_ROLE else 0, loss, None))
             position += len(formatted)
             path += digest[:8]
             depth += 1
@@ -121,7 +125,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.clear()
                 size = 0
     if started:
-        rows.append((uid, conv, depth, node, None, None, None, None, None, None, None, bytes(path)))
+        rows.append((uid, conv, depth, node, None, None, None, None, None, None, bytes(path)))
     if rows:
         yield batch_of()
 
@@ -152,7 +156,7 @@ def _attention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 open_[-1] = (open_[-1][0], start + chars)
             else:
                 open_.append((start, start + chars))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(spans, kind)], names=["node", "attention"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(spans, kind)], names=["node", "attention"])
 
 
 def prefix_forest(turns: DataFrame) -> Forest:
@@ -161,8 +165,9 @@ def prefix_forest(turns: DataFrame) -> Forest:
     Turns are ordered by turn, then role and text; a null turn comes first;
     repeated rows are turns of their own. A null role or text counts as empty, a
     null conv_id is a conversation like any other. An empty table gives an empty
-    forest; other columns are ignored. Only one conversation's hashes, eight
-    bytes a turn, are held in memory at a time.
+    forest; other columns are ignored. A conversation's turns are chained one
+    after the other, so it is sorted and read by one task, as a stream: held in
+    memory are its hashes, eight bytes a turn.
     """
     spark = turns.sparkSession
     src = pick(turns, "conv_id", "turn", "role", "text").withColumn("conv_id", F.col("conv_id").cast("long"))
@@ -180,31 +185,34 @@ def prefix_forest(turns: DataFrame) -> Forest:
     sums = sorted((r["split"], r["n"]) for r in emitted.groupBy("split").agg(F.sum("chars").alias("n")).collect())  # one row a split
     bases = spark.createDataFrame(list(zip([s for s, _ in sums], accumulate([n for _, n in sums], initial=0))), "split int, base long")
     placed = emitted.join(F.broadcast(bases), "split").withColumn("start", F.col("base") + F.col("local")).drop("split", "local", "base")
-    members = turn.select("uid", "conv_id", "depth", "node")
     lookup = placed.select("node", "start", "chars", F.col("rank").alias("node_rank"), "n_conversations")
     walked = skew_join(ranked.select("uid", "depth", "node", "rank"), lookup, ["node"], "n_conversations", chain.count(), ["uid"])
     walked = walked.withColumn("first", F.col("rank") == F.col("node_rank")).repartition("uid").sortWithinPartitions("uid", "depth")
-    attention = walked.select("uid", "node", "start", "chars", "first").mapInArrow(_attention, "node string, attention array<struct<start: long, end: long>>")
-    texts = turn.select("uid", "depth", "parent", "role", "formatted", "position", "loss_start", "loss_chars")
+    attention = walked.select("uid", "node", "start", "chars", "first").mapInArrow(_attention, "node binary, attention array<struct<start: long, end: long>>")
+    texts = turn.select("uid", "depth", "parent", "formatted", "position", "loss_start", "loss_chars")
     nodes = placed.drop("rank").join(attention, "node").join(texts, ["uid", "depth"]).drop("uid")
-    return Forest(nodes, members)
+    name = lambda c: F.lower(F.hex(c)).alias(c)
+    nodes = nodes.select(name("node"), name("parent"), "depth", "formatted", "start", "chars", "position", "loss_start", "loss_chars", "attention", "n_conversations")
+    return Forest(nodes, chain.filter("path IS NOT NULL").select("uid", "conv_id", name("node")))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From nodes sorted by conversation and position: each conversation parsed and digested."""
+    """From nodes sorted by conversation and place in the emission: each conversation parsed and digested."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     uid, now, rows = None, None, []
 
     def close() -> None:
         if now is not None:
+            if now["chars"] != now["whole"]:
+                raise ValueError(f"conversation {now['id']}: {now['chars']} code points read, expected {now['whole']}")
             rows.append((now["id"], now["turns"], now["all"].hexdigest(), now["loss_chars"], now["loss"].hexdigest(), now["chars"]))
 
     for batch in batches:
-        for u, conv, position, formatted, start, chars in zip(*(batch.column(c).to_pylist() for c in ("uid", "conv_id", "position", "formatted", "loss_start", "loss_chars"))):
+        for u, conv, whole, position, formatted, start, chars in zip(*(batch.column(c).to_pylist() for c in ("uid", "conv_id", "whole", "position", "formatted", "loss_start", "loss_chars"))):
             if u != uid:
                 close()
-                uid, now = u, {"id": conv, "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
+                uid, now = u, {"id": conv, "whole": whole, "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
             if position != now["chars"]:
                 raise ValueError(f"conversation {conv}: a node at position {position}, expected {now['chars']}")
             for role, text in parse(formatted):
@@ -222,12 +230,22 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def read_back(forest: Forest) -> DataFrame:
-    """Every conversation, read from the forest: its nodes by position, parsed and unescaped, and the text under its loss mask."""
-    nodes = forest.nodes.select("node", "position", "formatted", "loss_start", "loss_chars", "n_conversations")
-    joined = skew_join(forest.members.drop("depth"), nodes, ["node"], "n_conversations", forest.members.count(), ["uid"])
-    sorted_ = joined.select("uid", "conv_id", "position", "formatted", "loss_start", "loss_chars").repartition("uid").sortWithinPartitions("uid", "position")
-    return sorted_.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def read_back(forest: Forest, page: int = PAGE) -> DataFrame:
+    """Every conversation, read from the emission: the nodes inside the intervals that its last node attends to, then that node, parsed and unescaped, and the text under their loss masks.
+
+    Fails where an interval or a position is wrong. ``forest.nodes`` is read three times: give a written table.
+    """
+    nodes, convs = forest.nodes, forest.conversations
+    last = nodes.select("node", "n_conversations", (F.col("position") + F.col("chars")).alias("whole"), F.concat("attention", F.array(F.struct("start", (F.col("start") + F.col("chars")).alias("end")))).alias("spans"))
+    ends = skew_join(convs, last, ["node"], "n_conversations", convs.count(), ["uid"])
+    spans = ends.select("uid", "conv_id", "whole", F.explode("spans").alias("s"))
+    pages = F.sequence(F.floor(F.col("s.start") / page), F.floor((F.col("s.end") - 1) / page))
+    spans = materialise(spans.select("uid", "conv_id", "whole", "s.start", "s.end", F.explode(pages).alias("page")), "spans")
+    reached = spans.groupBy("page").agg(F.count("*").alias("n"))
+    emission = nodes.select(F.floor(F.col("start") / page).alias("page"), F.col("start").alias("at"), "position", "formatted", "loss_start", "loss_chars")
+    met = skew_join(spans, emission, ["page"], "n", spans.count(), ["uid"], weights=materialise(reached, "reached")).filter("at >= start AND at < end")
+    found = met.select("uid", "conv_id", "whole", "at", "position", "formatted", "loss_start", "loss_chars").repartition("uid").sortWithinPartitions("uid", "at")
+    return found.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: A conversation of control strings, formatted beside the table's.

@@ -142,6 +142,33 @@ def test_chat_format(spark):
         assert n["position"] == len(ancestors)
 
 
+def test_chat_is_read_through_intervals_and_positions(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    forest = chat_format.prefix_forest(turns)
+    nodes = spark.createDataFrame(forest.nodes.collect(), forest.nodes.schema)
+    want = rows_of(chat_format.read_back(chat_format.Forest(nodes, forest.conversations)), "conv_id", "turns_sha256")
+    for page in (7, 1 << 30):  # many pages a node, and one for all
+        assert rows_of(chat_format.read_back(chat_format.Forest(nodes, forest.conversations), page), "conv_id", "turns_sha256") == want
+    broken = {
+        "start": F.when(F.col("depth") == 1, F.col("start") + 1).otherwise(F.col("start")),
+        "position": F.col("position") + F.col("depth"),
+    }
+    cut = nodes.withColumn("attention", F.when(F.size("attention") > 0, F.slice("attention", 2, 99)).otherwise(F.col("attention")))
+    for bad in [cut, nodes.withColumn("attention", F.transform("attention", lambda a: F.struct((a["start"] + 1).alias("start"), a["end"].alias("end")))), *[nodes.withColumn(c, x) for c, x in broken.items()]]:
+        with pytest.raises(Exception, match="position|expected"):
+            chat_format.read_back(chat_format.Forest(bad, forest.conversations)).collect()
+
+
+def test_chat_of_a_very_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} " + "x" * (200_000 if i == 7 else 5)) for i in range(3000)]
+    rows += [(2, i, r, t) for _, i, r, t in rows[:2000]] + [(None, 0, None, None)] * 3
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.prefix_forest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in (1, 2):
+        ts = [(r, t) for k, _, r, t in rows if k == c]
+        assert got[c]["n_turns"] == len(ts) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()
+    assert got[None]["n_turns"] == 3
+
+
 def test_chat_escapes_read_back():
     rnd = random.Random(1)
     for _ in range(500):
