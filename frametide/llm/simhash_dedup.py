@@ -14,7 +14,9 @@ walked, each starting with another third: while inside that third the budget is
 stays near linear in the number of fingerprints.
 
 A trie is cut at a depth that follows the number of fingerprints: each pair of
-subtrees within the budget is a task's unit, sent to it by its key. Inside, what
+subtrees within the budget is a task's unit, sent to it by its key. A unit that
+is still too large is cut deeper, bit by bit, as long as its trie's leading part
+goes on; beyond, what shares a whole third is one unit. Inside, what
 is already connected is no longer walked (a pair of nodes of one component is
 dropped), and only a spanning forest leaves the task: a family of near copies
 gives as many rows as it has members, not pairs.
@@ -40,6 +42,8 @@ MAX_BITS = 4
 PARTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of a subtree that one task takes, on average.
 BLOCK = 16_384
+#: A unit of more fingerprints is split by further bits.
+MOST = 1 << 18
 
 _FRONTIER = 200_000
 _LEAF_PAIRS = 64
@@ -191,32 +195,69 @@ def _rotate(value: Column, bits: int) -> Column:
     return value if not bits else F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned(value, 64 - bits))
 
 
-def links(distinct: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect just the distinct fingerprints (column fp) that a chain of links connects."""
-    depth = 0
-    while depth < 20 and (n >> depth) > block:
-        depth += 1
+_UNIT = ["part", "depth", "low", "bit"]
+
+
+def _units(distinct: DataFrame, depth: int) -> DataFrame:
+    """Each fingerprint in every unit that it belongs to at one depth: a trie (part), the lesser of two prefixes of that many bits, the bit in which the other differs (-1: none, the subtree with itself), its side and its rotated value."""
     top = lambda c: F.shiftrightunsigned(c, 64 - depth) if depth else F.lit(0).cast("long")
     units = []
     for part, (start, _) in enumerate(PARTS):
         value = _rotate(F.col("fp"), start)
         prefix = top(value)
-        # Unit: the trie, the lesser of the two prefixes, the bit in which they differ (``depth``: none).
-        unit = lambda low, bit, part=part: F.struct(F.lit(part).alias("part"), low.alias("low"), F.lit(bit).alias("bit"))
-        own = [F.struct(unit(prefix, depth).alias("unit"), F.lit(0).alias("side"))]
+        unit = lambda low, bit, side: F.struct(low.alias("low"), F.lit(bit).alias("bit"), side.alias("side"))
+        own = [unit(prefix, -1, F.lit(0))]
         for bit in range(depth):
             flip = F.lit(1 << bit).cast("long")
-            own.append(F.struct(unit(prefix.bitwiseAND(F.bitwise_not(flip)), bit).alias("unit"), F.when(prefix.bitwiseAND(flip) == 0, 0).otherwise(1).alias("side")))
-        units.append(distinct.select(value.alias("value"), F.explode(F.array(*own)).alias("x")).select("x.unit.*", "x.side", "value"))
-    rows = units[0].unionByName(units[1]).unionByName(units[2])
+            own.append(unit(prefix.bitwiseAND(F.bitwise_not(flip)), bit, F.when(prefix.bitwiseAND(flip) == 0, 0).otherwise(1)))
+        units.append(distinct.select(F.lit(part).alias("part"), F.lit(depth).alias("depth"), value.alias("value"), F.explode(F.array(*own)).alias("x")).select("part", "depth", "x.*", "value"))
+    return units[0].unionByName(units[1]).unionByName(units[2])
+
+
+def _one_deeper(rows: DataFrame) -> DataFrame:
+    """The rows of units in the units below them: a subtree with itself is its two halves with themselves and with each other; of two subtrees, only halves on the same side are left within the budget."""
+    beta = F.getbit("value", F.lit(63) - F.col("depth")).cast("long")
+    twice = F.col("low") * 2
+    unit = lambda low, bit, side: F.struct(low.alias("low"), bit.cast("int").alias("bit"), side.cast("int").alias("side"))
+    below = F.when(F.col("bit") < 0, F.array(unit(twice + beta, F.lit(-1), F.lit(0)), unit(twice, F.lit(0), beta))).otherwise(F.array(unit(twice + beta, F.col("bit") + 1, F.col("side"))))
+    return rows.select("part", (F.col("depth") + 1).alias("depth"), "value", F.explode(below).alias("x")).select("part", "depth", "x.*", "value")
+
+
+def _split(rows: DataFrame, depth: int, most: int) -> DataFrame:
+    """The rows with units of more than ``most`` fingerprints replaced by the units below them, while their trie's leading part goes on."""
+    done: list[DataFrame] = []
+    lengths = F.array(*[F.lit(bits) for _, bits in PARTS])
+    while depth < max(bits for _, bits in PARTS):
+        large = rows.groupBy(*_UNIT).agg(F.count("*").alias("n")).filter((F.col("n") > most) & (F.col("depth") < lengths[F.col("part")]))
+        large = materialise(large.drop("n"), "large")
+        if large.isEmpty():
+            break
+        done.append(rows.join(large, _UNIT, "left_anti"))
+        rows = materialise(_one_deeper(rows.join(large, _UNIT, "left_semi")), "split")
+        depth += 1
+    for more in done:
+        rows = rows.unionByName(more)
+    return rows
+
+
+def links(distinct: DataFrame, n: int, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """Edges (u, v) that connect just the distinct fingerprints (column fp) that a chain of links connects."""
+    depth = 0
+    while depth < 20 and (n >> depth) > block:
+        depth += 1
+    rows = _units(distinct, depth)
+    # Two prefixes make a unit: none is larger than twice the most that one prefix has.
+    prefixes = _units(distinct, depth).filter("bit = -1").groupBy("part", "low").agg(F.count("*").alias("n"))
+    if 2 * (prefixes.agg(F.max("n")).first()[0] or 0) > most:
+        rows = _split(rows, depth, most)
 
     def walk(key: tuple, got: pa.Table) -> pa.Table:
-        part, _, bit = (k.as_py() for k in key)
+        part, depth, _, bit = (k.as_py() for k in key)
         start, bits = PARTS[part]
         value = got.column("value").to_numpy().view(np.uint64)
         side = got.column("side").to_numpy()
         a, b = np.sort(value[side == 0]), np.sort(value[side == 1])
-        if bit == depth:
+        if bit < 0:
             values, label = a, trie_links(a, None, depth, 0, bits)
         elif len(a) and len(b):
             values, label = np.concatenate([a, b]), trie_links(a, b, depth, 1, bits)
@@ -228,7 +269,7 @@ def links(distinct: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         return pa.table({"u": pa.array(back(values[found])), "v": pa.array(back(values[label[found]]))})
 
-    return rows.groupBy("part", "low", "bit").applyInArrow(walk, "u long, v long")
+    return rows.groupBy(*_UNIT).applyInArrow(walk, "u long, v long")
 
 
 def fingerprint_groups(fps: DataFrame) -> DataFrame:

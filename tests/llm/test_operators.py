@@ -286,8 +286,8 @@ def test_trie_join_against_all_pairs(spark):
     base = rng.integers(0, 2**64, 300, dtype=np.uint64)
     v = np.unique(np.concatenate([base, *[flips(base, k) for k in range(1, 6)], flips(np.full(800, base[0]), 3)]))
     frame = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
-    for block in (10**6, 50):  # one unit a trie, and many
-        edges = simhash_dedup.links(frame, len(v), block)
+    for block, most in ((10**6, 10**6), (50, 10**6), (10**6, 40), (50, 20)):  # one unit a trie, many, and large ones split
+        edges = simhash_dedup.links(frame, len(v), block, most)
         found = {r["u"]: r["v"] for r in simhash_dedup.components(edges).collect()}
         label = np.arange(len(v))
         x, y = np.nonzero(np.bitwise_count(v[:, None] ^ v[None, :]) <= 4)
@@ -300,6 +300,16 @@ def test_trie_join_against_all_pairs(spark):
         assert found == want and len(label) == len(v)
 
 
+def test_large_units_are_split(spark):
+    """A dense family: no unit keeps more than the bound while the leading part goes on."""
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 1 << 52, 3000, dtype=np.uint64)  # all share their first 12 bits
+    frame = spark.createDataFrame([(int(x),) for x in np.unique(low).view(np.int64)], "fp long")
+    rows = simhash_dedup._split(simhash_dedup._units(frame, 0), 0, 200)
+    sizes = rows.groupBy(*simhash_dedup._UNIT).count().collect()
+    assert max(r["count"] for r in sizes) <= 200 and len({r["depth"] for r in sizes}) > 3
+
+
 def test_licences(docs):
     got = license_scan.license_scan(docs)
     assert rows_of(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(brute.licences(ROWS), key=key)
