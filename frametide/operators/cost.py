@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frametide.functions.scalars import OUTPUT_TOKENS, cost_usd
+from frametide.operators.folds import ordered_fold
 
 SESSION_USD, MONTH_USD = 0.50, 10.00
 RATE_PER_S, BURST = 8 / 60, 3.0
@@ -24,45 +27,87 @@ def admit(requests: DataFrame, key: str, order: list[str], *, session: str | Non
     """Adds admitted, reason and spent_before: in order, a request is refused if it would pass a limit, and then costs nothing, so that a later, cheaper one may pass.
 
     ``key`` has one budget of ``month_usd``; within it each ``session`` has one of
-    ``session_usd``. Not a running sum: an ordered fold over each key.
+    ``session_usd``. Not a running sum: each decision needs the one before, so a
+    budget's requests pass one task, as a sorted stream; held are a number a
+    budget and one a session.
     """
-    schema = T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("spent_before", T.DoubleType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        month, by_session, out = 0.0, {}, []
-        for part, usd in zip(pdf[session] if session else [None] * len(pdf), pdf["usd"]):
+    def budget():
+        month, by_session = 0.0, {}
+
+        def step(usd: float, part: object = None) -> tuple:
+            nonlocal month
             spent = by_session.get(part, 0.0)
             reason = "session limit" if spent + usd > session_usd else "month limit" if month + usd > month_usd else None
-            out.append((reason is None, reason, spent))
             if reason is None:
                 by_session[part] = spent + usd
                 month += usd
-        return pdf.assign(admitted=[o[0] for o in out], reason=[o[1] for o in out], spent_before=[o[2] for o in out])
+            return reason is None, reason, spent
 
-    return requests.groupBy(key).applyInPandas(fold, schema)
+        return step
+
+    return ordered_fold(requests, key, order, ["usd", session] if session else ["usd"], "admitted boolean, reason string, spent_before double", budget)
 
 
 def token_bucket(arrivals: DataFrame, key: str, at: str, order: list[str], *, rate: float = RATE_PER_S, burst: float = BURST) -> DataFrame:
     """Adds wait_s and tokens_left: how long each arrival waits for a bucket that refills at ``rate`` up to ``burst``.
 
-    Arrivals are served in order; ``at`` is in seconds. An ordered fold over each key.
+    Arrivals are served in order; ``at`` is in seconds. A bucket's arrivals pass
+    one task, as a sorted stream; held are two numbers a bucket.
     """
-    schema = T.StructType([*arrivals.schema.fields, T.StructField("wait_s", T.DoubleType()), T.StructField("tokens_left", T.DoubleType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        tokens, now, out = burst, None, []
-        for t in pdf[at].astype(float):
+    def bucket():
+        tokens, now = burst, None
+
+        def step(t: float) -> tuple:
+            nonlocal tokens, now
             start = t if now is None else max(t, now)
             tokens = burst if now is None else min(burst, tokens + (start - now) * rate)
             wait = 0.0 if tokens >= 1 else (1 - tokens) / rate
             tokens = tokens + wait * rate - 1
             now = start + wait
-            out.append((now - t, tokens))
-        return pdf.assign(wait_s=[o[0] for o in out], tokens_left=[o[1] for o in out])
+            return now - t, tokens
+
+        return step
+
+    return ordered_fold(arrivals, key, order, [at], "wait_s double, tokens_left double", bucket)
+
+
+def model_defaults(requests: DataFrame, models: DataFrame) -> DataFrame:
+    """Fills a null model by provider and tier ("clip" by default). ``models`` has one row for each (provider, tier, model) and is broadcast; an unknown provider fails, naming those there are."""
+    named = ", ".join(sorted(r["provider"] for r in models.select("provider").distinct().collect()))  # a handful by contract
+    dim = F.broadcast(models.select("provider", F.col("tier").alias("_tier"), F.col("model").alias("_model")))
+    tier = F.coalesce(F.col("tier"), F.lit("clip")) if "tier" in requests.columns else F.lit("clip")
+    asked = requests.withColumn("_tier", tier)
+    found = F.coalesce(F.col("model"), F.col("_model")) if "model" in requests.columns else F.col("_model")
+    wrong = F.raise_error(F.concat(F.lit("unknown provider "), F.coalesce("provider", F.lit("null")), F.lit(f"; expected one of {named}")))
+    return asked.join(dim, ["provider", "_tier"], "left").withColumn("model", F.when(F.col("_model").isNull(), wrong).otherwise(found)).drop("_model", "_tier")
+
+
+def request_defaults(requests: DataFrame) -> DataFrame:
+    """Fills what a request may leave out: session_usd, month_usd, rate_per_s, burst. A null or blank api_key fails, naming its provider."""
+    given = lambda c, d: F.coalesce(F.col(c).cast("double"), F.lit(d)) if c in requests.columns else F.lit(d)
+    filled = requests.withColumns({c: given(c, d) for c, d in {"session_usd": SESSION_USD, "month_usd": MONTH_USD, "rate_per_s": RATE_PER_S, "burst": BURST}.items()})
+    missing = F.coalesce(F.trim("api_key"), F.lit("")) == ""
+    return filled.withColumn("api_key", F.when(missing, F.raise_error(F.concat(F.lit("no API key configured for "), F.col("provider")))).otherwise(F.col("api_key")))
+
+
+def valid_keys(keys: DataFrame, probe: Callable[[str, str], object]) -> DataFrame:
+    """Adds valid to rows of provider and api_key: whether ``probe(provider, api_key)``, the caller's cheapest call, returns without failing."""
+
+    def works(provider: str, key: str) -> bool:
+        try:
+            probe(provider, key)
+        except Exception:  # whatever goes wrong, the key can't be used
+            return False
+        return True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [works(p, k) for p, k in zip(batch.column("provider").to_pylist(), batch.column("api_key").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], names=[*batch.schema.names, "valid"])
 
-    return arrivals.groupBy(key).applyInPandas(fold, schema)
+    return keys.mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField("valid", T.BooleanType())]))
 
 
 def latest_wins(cache: DataFrame, key: str = "key", at: str = "created_at", tie: str = "payload") -> DataFrame:

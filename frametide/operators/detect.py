@@ -7,11 +7,13 @@ fold over the session's rows.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frametide.functions.scalars import hamming
+from frametide.operators.folds import ordered_fold
 
 MAX_STEP = 3
 HIT_SCORE = 0.80
@@ -74,23 +76,21 @@ def persistent_hashes(hashes: DataFrame, bits: int = MATCH_BITS, persistence: in
 
 
 def novel_hashes(candidates: DataFrame, key: str, order: list[str], bits: int = MATCH_BITS, history: int = HISTORY) -> DataFrame:
-    """Of candidates in order, those further than ``bits`` from each of the last ``history`` kept before: an ordered fold over each key."""
-    schema = candidates.schema
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        seen: list[int] = []
-        kept = []
-        for h in pdf["hash"]:
-            h = int(h) & ((1 << 64) - 1)
+    """Of candidates in order, those further than ``bits`` from each of the last ``history`` kept before. A key's candidates pass one task, as a sorted stream; held are ``history`` hashes."""
+
+    def keep():
+        seen: deque[int] = deque(maxlen=history)
+
+        def step(h: int) -> tuple:
+            h &= (1 << 64) - 1
             new = all((h ^ s).bit_count() > bits for s in seen)
-            kept.append(new)
             if new:
                 seen.append(h)
-                del seen[:-history]
-        return pdf[kept]
+            return (new,)
 
-    return candidates.groupBy(key).applyInPandas(keep, schema)
+        return step
+
+    return ordered_fold(candidates, key, order, ["hash"], "_new boolean", keep).filter("_new").drop("_new")
 
 
 def feed_kills(hashes: DataFrame) -> DataFrame:
@@ -106,21 +106,25 @@ def target_spawns(counts: DataFrame, hold: int = SPAWN_FRAMES) -> DataFrame:
     A session with more than one spawn in ``2 * hold`` frames has none at all:
     its counts are noise.
     """
+    whole = Window.partitionBy("session_id")
     ahead = counts.withColumn("low", F.min("n_targets").over(by_session().rowsBetween(0, hold - 1)))
-    ahead = ahead.withColumn("left", F.count("*").over(Window.partitionBy("session_id")) - F.row_number().over(by_session()))
+    ahead = ahead.withColumns({"n": F.count("*").over(whole), "left": F.count("*").over(whole) - F.row_number().over(by_session())})
+
+    def session():
+        confirmed = 0
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        confirmed, out = 0, []
-        for count, low, left in zip(pdf["n_targets"], pdf["low"], pdf["left"]):
+        def step(count: int, low: int, left: int) -> tuple:
+            nonlocal confirmed
             rises = left >= hold and count > confirmed and low >= count
-            out.append(rises)
             if left >= hold and (rises or count < confirmed):
                 confirmed = count
-        found = pdf[out]
-        return found.iloc[:0] if len(found) > len(pdf) // hold // 2 else found
+            return (rises,)
+
+        return step
 
-    return ahead.groupBy("session_id").applyInPandas(fold, ahead.schema).select("session_id", "frame", "n_targets")
+    found = ordered_fold(ahead, "session_id", ["frame"], ["n_targets", "low", "left"], "rises boolean", session).filter("rises")
+    plausible = F.count("*").over(whole) <= F.floor(F.floor(F.col("n") / hold) / 2)
+    return found.withColumn("plausible", plausible).filter("plausible").select("session_id", "frame", "n_targets")
 
 
 def keyed_components(points: DataFrame, keys: list[str], low: dict[str, float], high: dict[str, float], min_area: int) -> DataFrame:

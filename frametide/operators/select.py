@@ -48,9 +48,17 @@ def diverse_top_k(candidates: DataFrame, k: int = CLIPS, *, key: str = "session_
 
     If the one of lowest original score isn't taken and any is left, it replaces
     the last pick. Columns: key, idx, pick (order, from 1), score (when picked).
-    ``k`` of 0 gives no rows. Each pick depends on all before it, so this is an
-    ordered fold over a key's candidates.
+    ``k`` of 0 gives no rows. Each pick depends on all before it, so a key's
+    candidates meet in one task, but only those that can be picked do: one further
+    below the ``k``-th best score than ``k - 1`` penalties never is.
     """
+    order = Window.partitionBy(key).orderBy(F.desc(score), idx)
+    best = candidates.select(key, score, idx).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max(1, k))  # cut to k a key before the shuffle
+    bound = best.groupBy(key).agg((F.min(score) - max(0, k - 1) * max(0.0, penalty)).alias("_bound"))
+    lowest = candidates.groupBy(key).agg(F.min(F.struct(score, idx)).alias("_low"))
+    ends = bound.join(lowest, key).select(F.col(key).alias("_key"), "_bound", F.col(f"_low.{idx}").alias("_calmest"))
+    near = candidates.select(key, idx, score, features).join(ends, F.col(key).eqNullSafe(F.col("_key")))
+    candidates = near.filter(F.col(score).isNull() | (F.col(score) >= F.col("_bound")) | (F.col(idx) == F.col("_calmest")))
     schema = T.StructType([candidates.schema[key], candidates.schema[idx], T.StructField("pick", T.IntegerType()), T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema]
 

@@ -1,16 +1,20 @@
-"""Spectra of speed signals by direct transforms in column expressions.
+"""Spectra of speed signals.
 
-Signals have clip_id, i (dense from 0) and x. Every bin is a sum over a clip's
-samples, so a transform is one join of samples with the few bins that matter and
-one aggregation; nothing leaves the JVM.
+Signals have clip_id, i (dense from 0) and x. A clip's samples meet in one row as
+an array, a few seconds long, and its transform is a fast Fourier transform in an
+Arrow-fed function: time grows with n log n of a clip, and nothing but the clip
+is held.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from frametide.functions.scalars import clip
+from pyspark.sql import types as T
 
 CUT_HZ = 10.0
 LEAST_MAGNITUDE = 0.05
@@ -25,27 +29,70 @@ def finite_signal(signal: DataFrame) -> DataFrame:
     return kept.withColumn("i", F.row_number().over(Window.partitionBy("clip_id").orderBy("i")) - 1)
 
 
+def _finite(x: np.ndarray) -> np.ndarray:
+    return x[np.isfinite(x)]
+
+
+def _by_clip(signal: DataFrame, fields: list[T.StructField], rows_of: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
+    """``rows_of`` a clip's samples in order (null as NaN), each row led by clip_id."""
+    whole = signal.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias("s"))
+    whole = whole.select("clip_id", F.transform("s", lambda e: F.coalesce(e["x"], F.lit(float("nan")))).alias("s"))
+    schema = T.StructType([whole.schema["clip_id"], *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        for batch in batches:
+            found = [rows_of(s.values.to_numpy(zero_copy_only=False)) for s in batch.column("s")]
+            keys = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            columns = list(zip(*(r for f in found for r in f))) or [()] * len(fields)
+            kinds = kinds or [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f.dataType.simpleString().replace("bigint", "long")] for f in fields]
+            yield pa.RecordBatch.from_arrays([batch.column("clip_id").take(pa.array(keys)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+
+    return whole.mapInArrow(run, schema)
+
+
+def arc_length(x: np.ndarray, fs: float, cut: float, least: float, pad: int) -> float:
+    n = len(x)
+    if n < 4 or not np.abs(x).max() > 0:
+        return 0.0
+    size = 1 << (int(np.ceil(np.log2(n))) + pad)
+    k = np.arange(min(size, int(np.floor(size * cut / fs)) + 1))
+    half = np.abs(np.fft.rfft(x, size))
+    m = half[np.minimum(k, size - k)] / half.max()  # beyond the middle the spectrum of a real signal mirrors itself
+    strong = np.flatnonzero(m >= least)
+    if not len(strong) or strong[0] == strong[-1]:
+        return 0.0
+    m = m[strong[0] : strong[-1] + 1]
+    return float(-np.hypot(1 / (len(m) - 1), np.diff(m)).sum())
+
+
 def sparc(signal: DataFrame, fs: float, cut: float = CUT_HZ, least: float = LEAST_MAGNITUDE, pad: int = PAD_LEVEL) -> DataFrame:
     """clip_id, sparc: minus the arc length of the normalised magnitude spectrum up to ``cut`` hertz.
 
-    Bins are those of a transform padded to ``2 ** (ceil(log2 n) + pad)`` samples.
-    Magnitudes are relative to the first bin, which is the largest for speeds.
-    The arc runs from the first to the last bin at or above ``least``. 0 for under
-    four samples, a signal of zeros, or an arc without length.
+    Values that aren't finite are left out. Bins are those of a transform padded
+    to ``2 ** (ceil(log2 n) + pad)`` samples. Magnitudes are relative to the
+    largest. The arc runs from the first to the last bin at or above ``least``. 0 for under four samples, a signal of zeros, or an
+    arc without length.
     """
-    signal = finite_signal(signal)
-    shape = signal.groupBy("clip_id").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.max(F.abs("x")).alias("top"), F.collect_list(F.struct("i", "x")).alias("s"))
-    good = shape.filter("n >= 4 AND top > 0").withColumn("nfft", F.pow(F.lit(2.0), F.ceil(F.log2("n")) + pad))
-    bins = good.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("nfft") * cut / fs).cast("int"))))
-    angle = lambda e: 2 * F.pi() * F.pmod(F.col("k").cast("long") * e["i"], F.col("nfft").cast("long")) / F.col("nfft")
-    add = lambda f: F.aggregate("s", F.lit(0.0), lambda a, e: a + e["x"] * f(angle(e)))
-    spec = bins.select("clip_id", "k", (F.col("k") * fs / F.col("nfft")).alias("f"), (F.hypot(add(F.cos), add(F.sin)) / F.col("total")).alias("m"))
-    per, w = Window.partitionBy("clip_id"), Window.partitionBy("clip_id").orderBy("k")
-    strong = lambda agg: agg(F.when(F.col("m") >= least, F.col("k"))).over(per)
-    arc = spec.withColumns({"first": strong(F.min), "last": strong(F.max)}).filter("k BETWEEN first AND last")
-    arc = arc.withColumns({"df": F.col("f") - F.lag("f").over(w), "dm": F.col("m") - F.lag("m").over(w), "span": F.max("f").over(per) - F.min("f").over(per)})
-    length = arc.filter("df IS NOT NULL AND span > 0").groupBy("clip_id").agg((-F.sum(F.hypot(F.col("df") / F.col("span"), "dm"))).alias("sparc"))
-    return shape.select("clip_id").join(length, "clip_id", "left").select("clip_id", F.coalesce("sparc", F.lit(0.0)).alias("sparc"))
+    return _by_clip(signal, [T.StructField("sparc", T.DoubleType())], lambda x: [(arc_length(_finite(x), fs, cut, least, pad),)])
+
+
+def density(x: np.ndarray, fs: float, segment: int, overlap: int | None, detrend: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and mean one-sided density of a signal."""
+    size = min(len(x), segment)
+    shared = size // 2 if overlap is None else min(overlap, size - 1)
+    parts = np.lib.stride_tricks.sliding_window_view(x, size)[:: size - shared].astype(float)
+    j = np.arange(size)
+    if detrend == "constant":
+        parts = parts - parts.mean(axis=1, keepdims=True)
+    elif detrend == "linear":
+        at = j - j.mean()
+        slope = parts @ at / (at @ at) if size > 1 else np.zeros(len(parts))
+        parts = parts - parts.mean(axis=1, keepdims=True) - slope[:, None] * at
+    window = np.ones(1) if size == 1 else 0.5 - 0.5 * np.cos(2 * np.pi * j / size)
+    k = np.arange(size // 2 + 1)
+    power = (np.abs(np.fft.rfft(parts * window)) ** 2).mean(axis=0) / ((window**2).sum() * fs)
+    return k * fs / size, power * np.where((k == 0) | (2 * k == size), 1.0, 2.0)
 
 
 def welch(signal: DataFrame, fs: float, segment: int = SEGMENT, overlap: int | None = None, detrend: str | None = "constant") -> DataFrame:
@@ -59,47 +106,30 @@ def welch(signal: DataFrame, fs: float, segment: int = SEGMENT, overlap: int | N
         raise ValueError("overlap must be less than the segment")
     if detrend not in ("constant", "linear", None):
         raise ValueError(f"unknown detrend {detrend!r}")
-    sized = signal.withColumn("n", F.count("*").over(Window.partitionBy("clip_id"))).withColumn("len", F.least("n", F.lit(segment)))
-    shared = F.floor(F.col("len") / 2) if overlap is None else F.least(F.lit(overlap), F.col("len") - 1)
-    sized = sized.withColumn("hop", F.col("len") - shared)
-    last = F.floor((F.col("n") - F.col("len")) / F.col("hop"))
-    from_seg = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("len") + 1) / F.col("hop")))
-    to_seg = F.least(last, F.floor(F.col("i") / F.col("hop")))
-    cut = sized.filter(from_seg <= to_seg).withColumn("seg", F.explode(F.sequence(from_seg.cast("int"), to_seg.cast("int"))))
-    cut = cut.withColumn("j", F.col("i") - F.col("seg") * F.col("hop"))
-    per = Window.partitionBy("clip_id", "seg")
-    base = F.lit(0.0)
-    if detrend == "constant":
-        base = F.avg("x").over(per)
-    elif detrend == "linear":
-        slope = F.coalesce(F.covar_pop("x", "j").over(per) / F.nullif(F.var_pop("j").over(per), F.lit(0.0)), F.lit(0.0))
-        base = F.avg("x").over(per) + slope * (F.col("j") - F.avg("j").over(per))
-    window = F.when(F.col("len") == 1, 1.0).otherwise(F.lit(0.5) - F.lit(0.5) * F.cos(2 * F.pi() * F.col("j") / F.col("len")))
-    cut = cut.withColumns({"y": (F.col("x") - base) * window, "w2": window * window})
-    seg = cut.groupBy("clip_id", "seg", "len").agg(F.collect_list(F.struct("j", "y")).alias("s"), F.sum("w2").alias("w2"))
-    bins = seg.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("len") / 2).cast("int"))))
-    angle = lambda e: 2 * F.pi() * F.pmod(F.col("k").cast("long") * e["j"], F.col("len")) / F.col("len")
-    add = lambda f: F.aggregate("s", F.lit(0.0), lambda a, e: a + e["y"] * f(angle(e)))
-    once = (F.col("k") == 0) | (F.col("k") * 2 == F.col("len"))
-    power = (F.pow(add(F.cos), F.lit(2)) + F.pow(add(F.sin), F.lit(2))) / (F.col("w2") * fs) * F.when(once, 1.0).otherwise(2.0)
-    return bins.select("clip_id", "len", "k", power.alias("p")).groupBy("clip_id", "len", "k").agg(F.avg("p").alias("power")).select("clip_id", "k", (F.col("k") * fs / F.col("len")).alias("f"), "power")
+
+    def rows_of(x: np.ndarray) -> list[tuple]:
+        f, power = density(x, fs, segment, overlap, detrend)
+        return list(zip(range(len(f)), f.tolist(), power.tolist()))
+
+    return _by_clip(signal, [T.StructField("k", T.IntegerType()), T.StructField("f", T.DoubleType()), T.StructField("power", T.DoubleType())], rows_of)
+
+
+def jitter_share(x: np.ndarray, fs: float, band: tuple[float, float]) -> float | None:
+    if len(x) < 8:
+        return 0.0
+    if band[0] >= fs / 2:
+        return None
+    f, power = density(x - x.mean(), fs, SEGMENT, None, "constant")
+    area = (power[1:] + power[:-1]) / 2 * np.diff(f)
+    inside = (f[1:] <= min(band[1], fs / 2)) & (f[:-1] >= band[0])
+    return float(np.clip(area[inside].sum() / area.sum(), 0.0, 1.0)) if area.sum() > 0 else 0.0
 
 
 def jitter_ratio(signal: DataFrame, fs: float, band: tuple[float, float] = JITTER_BAND) -> DataFrame:
     """clip_id, jitter_ratio: the share of power within ``band``, by trapezoids, in [0, 1].
 
-    0 for under eight samples, without power, or without bins in the band; null
-    if the band lies beyond what ``fs`` resolves.
+    Values that aren't finite are left out. 0 for under eight samples, without
+    power, or without bins in the band; null if the band lies beyond what ``fs``
+    resolves.
     """
-    signal = finite_signal(signal)
-    every = signal.groupBy("clip_id").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
-    if band[0] >= fs / 2:
-        return every.select("clip_id", F.when(F.col("n") < 8, 0.0).alias("jitter_ratio"))
-    centred = signal.join(every.filter("n >= 8"), "clip_id").select("clip_id", "i", (F.col("x") - F.col("mean")).alias("x"))
-    w = Window.partitionBy("clip_id").orderBy("k")
-    high = min(band[1], fs / 2)
-    area = (F.col("power") + F.lag("power").over(w)) / 2 * (F.col("f") - F.lag("f").over(w))
-    both = (F.col("f") <= high) & (F.lag("f").over(w) >= band[0])
-    sums = welch(centred, fs).withColumns({"area": area, "inside": both}).groupBy("clip_id").agg(F.sum("area").alias("all"), F.sum(F.when(F.col("inside"), F.col("area"))).alias("part"))
-    ratio = F.when(F.col("all") > 0, clip(F.coalesce("part", F.lit(0.0)) / F.col("all"), 0.0, 1.0)).otherwise(0.0)
-    return every.select("clip_id").join(sums, "clip_id", "left").select("clip_id", F.coalesce(ratio, F.lit(0.0)).alias("jitter_ratio"))
+    return _by_clip(signal, [T.StructField("jitter_ratio", T.DoubleType())], lambda x: [(jitter_share(_finite(x), fs, band),)])
