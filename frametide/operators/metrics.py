@@ -75,6 +75,13 @@ def target_switch_ms(trace: DataFrame, shots: DataFrame, threshold: float = SETT
     return shots.select("clip_id").join(found, "clip_id", "left")
 
 
+def headshot_share(headshots: Column | str | None, hits: Column | str) -> Column:
+    """Headshots as a share of hits, 0 where none are counted; null without a hit."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    counted = F.coalesce(c(headshots), F.lit(0)) if headshots is not None else F.lit(0)
+    return F.when(c(hits) > 0, counted / c(hits).cast("double"))
+
+
 def warnings(fps: float, has_stimulus: Column, shots: Column, jitter: Column, hit_detection: bool) -> Column:
     """The notes that go with a clip's numbers, in order."""
     # The notes' wording, which consumers of the records match on.

@@ -38,6 +38,15 @@ def trace_confidence(motion: DataFrame) -> DataFrame:
     return motion.filter("i >= 1").groupBy("clip_id").agg(F.avg(F.col("ok").cast("double")).alias("confidence"))
 
 
+def from_arrays(clips: DataFrame) -> DataFrame:
+    """clip_id, i, t_ms, yaw_deg, pitch_deg from a trace stored as arrays. Arrays of unlike or unknown lengths, and fewer than two samples, fail."""
+    parts = ("t_ms", "yaw_deg", "pitch_deg")
+    n = F.size("t_ms")
+    alike = F.coalesce((F.size("yaw_deg") == n) & (F.size("pitch_deg") == n) & F.col("t_ms").isNotNull() & F.col("yaw_deg").isNotNull() & F.col("pitch_deg").isNotNull(), F.lit(False))
+    checked = F.when(~alike, F.raise_error(F.lit("trace arrays must share a length"))).when(n < 2, F.raise_error(F.lit("a trace needs at least two samples"))).otherwise(F.arrays_zip(*parts))
+    return clips.select("clip_id", F.posexplode(checked).alias("i", "s")).select("clip_id", "i", *[F.col(f"s.{p}").alias(p) for p in parts])
+
+
 def speed(trace: DataFrame, fps: float) -> DataFrame:
     """Adds speed_dps, degrees a second; the first sample's is 0."""
     w = by_clip()

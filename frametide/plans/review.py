@@ -48,7 +48,7 @@ def measure(groups: DataFrame, motion: DataFrame, s: Settings) -> DataFrame:
     """Engagements with every metric of their window's trace. ``motion``: clip_id (the session), i (the frame), dx, dy, ok.
 
     A window's trace starts anew at its first frame: offsets are accumulated
-    inside the window only. Seven metrics read the trace: it is written once.
+    inside the window only. Headshots are counted if ``groups`` has n_headshots. Seven metrics read the trace: it is written once.
     """
     keyed = written(groups.withColumn("key", F.concat_ws(":", F.col("session_id").cast("string"), "lo")), "groups")
     cut = motion.withColumnRenamed("clip_id", "session_id").join(keyed.select("session_id", "key", "lo", "hi"), "session_id").filter((F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")))
@@ -77,7 +77,7 @@ def measure(groups: DataFrame, motion: DataFrame, s: Settings) -> DataFrame:
         "reaction_time_ms": reaction,
         "reaction_time_error_ms": F.when(reaction.isNotNull(), F.lit(1000.0 / s.fps)),
         "time_to_first_shot_ms": reaction,
-        "headshot_pct": F.when(F.col("n_hits") > 0, 0.0),
+        "headshot_pct": metrics.headshot_share("n_headshots" if "n_headshots" in out.columns else None, "n_hits"),
         "shots_fired": shots_n,
         "shots_hit": F.col("n_hits"),
         "cv_warnings": metrics.warnings(s.fps, stim, shots_n, jitter, s.hit_detection),

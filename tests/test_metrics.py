@@ -195,3 +195,16 @@ def test_hann(spark):
 def test_flick_path(spark):
     got = [r["yaw_deg"] for r in sorted(flick_path(spark, 60, 60.0, 40.0, 0.3, 6.0).collect(), key=lambda r: r["i"])]
     assert max(got) > 45 and got[0] == 0 and got[-1] == pytest.approx(40)
+
+
+def test_headshots_and_array_traces(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(4, 1), (4, None), (0, 0)], "hits int, heads int")
+    assert [r[0] for r in rows.select(metrics.headshot_share("heads", "hits")).collect()] == [0.25, 0.0, None]
+    assert [r[0] for r in rows.select(metrics.headshot_share(None, "hits")).collect()] == [0.0, 0.0, None]
+    good = spark.createDataFrame([("a", [0.0, 1.0], [2.0, 3.0], [4.0, 5.0])], "clip_id string, t_ms array<double>, yaw_deg array<double>, pitch_deg array<double>")
+    assert [tuple(r) for r in traces.from_arrays(good).orderBy("i").collect()] == [("a", 0, 0.0, 2.0, 4.0), ("a", 1, 1.0, 3.0, 5.0)]
+    for bad, message in ((good.withColumn("yaw_deg", F.array(F.lit(1.0))), "share a length"), (good.withColumn("yaw_deg", F.lit(None).cast("array<double>")), "share a length"), (good.select("clip_id", *[F.slice(c, 1, 1).alias(c) for c in ("t_ms", "yaw_deg", "pitch_deg")]), "two samples")):
+        with pytest.raises(Exception, match=message):
+            traces.from_arrays(bad).collect()
