@@ -79,8 +79,12 @@ def keep_rows(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> Data
     plain = _numbered(docs)
     view = plain.select(*[F.col(f"_c{cols.index(n)}").alias(n) for n in ("doc_id", "text")], UID)
     gone = materialise(decide(view).filter("NOT kept").select(UID), "gone")
-    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    return plain.join(side, UID, "left_anti").drop(UID).toDF(*cols)
+    return plain.join(broadcast_if_small(gone), UID, "left_anti").drop(UID).toDF(*cols)
+
+
+def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``most`` rows; beyond that it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -13,8 +13,8 @@ from array import array
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks in each of a worker cache's two generations.
-CACHE_CHUNKS = 200_000
+#: Chunks, and words, in each of a worker cache's two generations.
+CACHE_CHUNKS = 160_000
 #: Longer chunks are encoded afresh each time.
 CACHE_CHARS = 48
 
@@ -76,6 +76,10 @@ class ChunkEncoder:
         letters = {b: c for c, b in byte_alphabet().items()}
         self.table = {i: letters[i] for i in range(256)}
 
+    def word_ids(self, word: str) -> list[int]:
+        """The ids of letters in lower case, all of Latin-1. ASCII letters stand for themselves."""
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.table))]
+
     def ids(self, chunk: str) -> list[int]:
         if not chunk.isascii() and max(chunk) > "\xff" or "<|" in chunk:
             return self.tok.encode(chunk, add_special_tokens=False).ids
@@ -94,20 +98,53 @@ class ChunkEncoder:
 
 
 class _Cache(dict):
-    """Chunk -> value in two generations: when the young one is full it becomes the old one, which is asked before computing afresh."""
+    """Chunk -> value, in two generations: when the young one is full it becomes the old one, which is asked before computing afresh.
+
+    Behind the chunks stand words, letters in lower case without a closing mark,
+    in two generations too. A chunk whose word is new isn't kept, only the word:
+    what occurs once doesn't push out what comes again.
+    """
 
     def __init__(self, path: str, start: dict):
         super().__init__(start)
         self.encoder, self.start, self.old = ChunkEncoder(path), start, {}
+        self.words, self.old_words, self.marks = {}, {}, {}
+        self.marks = {m: self.value(m) for m in _PLAIN_ENDS}
 
-    def value(self, chunk: str):
+    def pack(self, ids: list[int]):
         raise NotImplementedError
 
+    def value(self, chunk: str):
+        return self.pack(self.encoder.ids(chunk))
+
+    def word(self, word: str) -> tuple:
+        """A word's value, and whether it was known."""
+        got = self.words.get(word)
+        if got is not None:
+            return got, True
+        got = self.old_words.get(word)
+        known = got is not None
+        if not known:
+            got = self.pack(self.encoder.word_ids(word))
+        if len(word) <= CACHE_CHARS:
+            if len(self.words) >= CACHE_CHUNKS:
+                self.old_words, self.words = self.words, {}
+            self.words[word] = got
+        return got, known
+
     def __missing__(self, chunk: str):
-        got = self.old.get(chunk)
+        got, known = self.old.get(chunk), True
         if got is None:
-            got = self.value(chunk)
-        if len(chunk) <= CACHE_CHARS:
+            if chunk.isascii() or max(chunk) <= "\xff":
+                low = chunk.lower()
+                if low.isalpha():
+                    got, known = self.word(low)
+                elif low[-1] in _PLAIN_ENDS and low[:-1].isalpha():
+                    got, known = self.word(low[:-1])
+                    got = got + self.marks[low[-1]]
+            if got is None:
+                got = self.value(chunk)
+        if known and len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_CHUNKS + len(self.start):
                 self.old = dict(self)
                 self.clear()
@@ -119,8 +156,8 @@ class _Cache(dict):
 class ChunkLengths(_Cache):
     """Chunk -> number of tokens, beginning with a shared table."""
 
-    def value(self, chunk: str) -> int:
-        return len(self.encoder.ids(chunk))
+    def pack(self, ids: list[int]) -> int:
+        return len(ids)
 
 
 #: Bytes that a packed id takes until it is handed out; a larger vocabulary fails when it is loaded.
@@ -135,8 +172,8 @@ class ChunkIds(_Cache):
         if self.encoder.tok.get_vocab_size() > 1 << 8 * ID_BYTES:
             raise ValueError(f"{path}: ids don't fit {ID_BYTES} bytes")
 
-    def value(self, chunk: str) -> bytes:
-        return array("H", self.encoder.ids(chunk)).tobytes()
+    def pack(self, ids: list[int]) -> bytes:
+        return array("H", ids).tobytes()
 
 
 _IDS: dict[str, ChunkIds] = {}

@@ -7,7 +7,9 @@ and yields a list of *slots*: "the pieces of length L and ranks r to r + n take
 place at offset o of sequences s to s + n". Every piece then finds its slot by
 its rank within its length. Ranks need no sort: each task numbers the pieces of
 a length as it writes them, and a task's start is the sum of the counts of those
-before it.
+before it. These starts, a row for each length in each task, are broadcast while
+they are few, so that ids stay where they are; beyond that both sides are
+shuffled.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frametide.llm._common import materialise, pick, table
+from frametide.llm._common import broadcast_if_small, materialise, pick, table
 from frametide.llm._words import ID_BYTES, chunks, id_cache, tokenizer_path
 
 WIDTH = 4096
 END_ID = 1
-#: Bytes of ids after which a task hands pieces on.
-BATCH_BYTES = 16 << 20
+#: Bytes of ids after which a task hands pieces on, and pieces that it places at a time.
+BATCH_BYTES = 8 << 20
+_PLACED_ROWS = 1024
 
 
 def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -81,6 +84,14 @@ def widened(ids: bytes) -> bytes:
     return np.frombuffer(ids, f"<u{ID_BYTES}").astype("<u4").tobytes()
 
 
+def _widened_column(ids: pa.Array) -> pa.Array:
+    """:func:`widened` of a whole column at once."""
+    _, offsets, data = ids.buffers()
+    at = np.frombuffer(offsets, np.int32, len(ids) + 1, 4 * ids.offset)
+    packed = np.frombuffer(data, f"<u{ID_BYTES}", (at[-1] - at[0]) // ID_BYTES, int(at[0])) if data is not None else np.zeros(0, np.uint16)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(((at - at[0]) // ID_BYTES * 4).astype(np.int32).tobytes()), pa.py_buffer(packed.astype("<u4").tobytes())])
+
+
 def plan_slots(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, int, int, int, int]]:
     """Best-fit decreasing over counts: slots (length, first_rank, count, first_sequence, offset).
 
@@ -144,12 +155,14 @@ def _place(slots: list[tuple[int, int, int, int, int]], rank_bits: int = 44):
     first_rank, first_sequence, offset = (np.array([s[i] for s in ordered], np.int64) for i in (1, 3, 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-            at = np.searchsorted(keys, (length << rank_bits) + rank, "right") - 1
-            names = [n for n in batch.schema.names if n != "rank"]
-            columns = [pa.array([widened(x.as_py()) for x in batch.column(n)], pa.binary()) if n == "ids" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(first_sequence[at] + rank - first_rank[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, _PLACED_ROWS):
+                batch = whole.slice(first, _PLACED_ROWS)
+                length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+                at = np.searchsorted(keys, (length << rank_bits) + rank, "right") - 1
+                names = [n for n in batch.schema.names if n != "rank"]
+                columns = [_widened_column(batch.column(n)) if n == "ids" else batch.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(first_sequence[at] + rank - first_rank[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
 
     return run
 
@@ -167,11 +180,11 @@ def best_fit_packing(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_I
     cut = materialise(pieces(docs, width=width, end_id=end_id, tokenizer=tokenizer, keep_ids=keep_ids), "pieces")
     by_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    starts = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"))
+    starts = materialise(by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("base")), "starts")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``width`` rows
     slots = plan_slots(histogram, width)
     carried = "ids" if keep_ids else "ids_crc32"
-    ranked = cut.join(starts, ["length", "task"]).select("doc_id", "piece", "start", "length", carried, (F.col("base") + F.col("local_rank")).alias("rank"))
+    ranked = cut.join(broadcast_if_small(starts), ["length", "task"]).select("doc_id", "piece", "start", "length", carried, (F.col("base") + F.col("local_rank")).alias("rank"))
     schema = f"doc_id long, piece int, start long, length long, {carried} {'binary' if keep_ids else 'long'}, sequence_id long, offset long"
     placed = ranked.mapInArrow(_place(slots), schema)
     crc = F.crc32("ids") if keep_ids else F.col("ids_crc32")  # of the ids that lie in their sequence
