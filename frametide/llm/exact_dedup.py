@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +107,21 @@ def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch_of(out)
 
 
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges the sorted runs that a partition was sent, which arrive one after the other.
+
+    A stable merge sort finds the runs in its input and merges them; what is
+    already in order is only read. Held are the partition's runs: a row a digest
+    and run, however many copies a text has.
+    """
+    got = list(batches)
+    if not got:
+        return
+    runs = pa.Table.from_batches(got)
+    order = np.argsort(np.array(runs.column("text_sha256").to_pylist(), "S64"), kind="stable")
+    yield from _merge_sorted(b for at in range(0, len(order), 8192) for b in runs.take(order[at : at + 8192]).to_batches())
+
+
 def merge_runs(digests: DataFrame, fan: int = FAN) -> DataFrame:
     """One row for each distinct text: ``KEY``, n_rows, keep_chars, keep_id, keep_uid."""
     spark = digests.sparkSession
@@ -126,9 +142,8 @@ def merge_runs(digests: DataFrame, fan: int = FAN) -> DataFrame:
         runs = runs.withColumn("slot", (F.col("slot") + (digit(home) - digit(F.col("slot"))) * unit).cast("int"))
         runs = (
             runs.repartitionById(slots, F.col("slot"))
-            .sortWithinPartitions("text_sha256")
             .select(*[c.split()[0] for c in RUN.split(", ")])
-            .mapInArrow(_merge_sorted, RUN)
+            .mapInArrow(_merge_runs, RUN)
             .withColumn("slot", F.spark_partition_id())
         )
     return runs.drop("slot")
