@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from frametide.llm._common import pick, table
 
 WINDOW = 5
+#: Windows of longer texts are numbered, not kept as bytes.
+LONG_TEXT = 20_000
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + _UPPER.lower()
@@ -53,11 +56,30 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << names.index(r) for r in rules)
 
 
+def _repeated_in_long(words: list[bytes], width: int) -> int:
+    """:func:`repeated_words` by numbers: each word's, then each window's, built up pair by pair, so memory stays a few longs a word."""
+    numbers: dict[bytes, int] = {}
+    window = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    single, size = window, 1
+    while size < width:
+        step = min(size, width - size)
+        right = window[size:] if step == size else single[size:]
+        step = step if step == size else 1
+        left = window[: len(right)]
+        window = np.unique(left * (int(right.max()) + 1) + right[: len(left)], return_inverse=True)[1]
+        size += step
+    at = np.flatnonzero(np.bincount(window)[window] > 1)
+    edges = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + width, minlength=len(words) + 1)
+    return int((np.cumsum(edges) > 0).sum())
+
+
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     """Words that lie in a ``width``-word window found twice or more in the text."""
     n = len(words) - width + 1
     if n < 2:
         return 0
+    if n > LONG_TEXT:
+        return _repeated_in_long(words, width)
     joined = b" ".join(words)
     starts, ends, at = [], [], 0
     for w in words:
@@ -147,7 +169,11 @@ def quality_rules(docs: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, policy: str = POLICY) -> DataFrame:
-    """The rows of ``docs`` that pass a policy by the ledger's mask, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that pass a policy by the ledger's mask, with all their columns, whatever their names, in one pass without a shuffle.
+
+    A null, empty or blank text has no words and goes; each row is judged for
+    itself, repeats alike; an empty table gives an empty one.
+    """
     cols = docs.columns
     text_at = cols.index("text")
     plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
