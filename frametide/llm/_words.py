@@ -13,8 +13,8 @@ from array import array
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks, and words, in each of a worker cache's two generations.
-CACHE_CHUNKS = 160_000
+#: Chunks in each of a worker cache's two generations.
+CACHE_CHUNKS = 320_000
 #: Longer chunks are encoded afresh each time.
 CACHE_CHARS = 48
 
@@ -100,15 +100,14 @@ class ChunkEncoder:
 class _Cache(dict):
     """Chunk -> value, in two generations: when the young one is full it becomes the old one, which is asked before computing afresh.
 
-    Behind the chunks stand words, letters in lower case without a closing mark,
-    in two generations too. A chunk whose word is new isn't kept, only the word:
+    A chunk that is a word, letters, but for capitals and a closing mark is that
+    word's value and the mark's. Where the word is new only the word is kept:
     what occurs once doesn't push out what comes again.
     """
 
     def __init__(self, path: str, start: dict):
         super().__init__(start)
         self.encoder, self.start, self.old = ChunkEncoder(path), start, {}
-        self.words, self.old_words, self.marks = {}, {}, {}
         self.marks = {m: self.value(m) for m in _PLAIN_ENDS}
 
     def pack(self, ids: list[int]):
@@ -117,39 +116,36 @@ class _Cache(dict):
     def value(self, chunk: str):
         return self.pack(self.encoder.ids(chunk))
 
-    def word(self, word: str) -> tuple:
-        """A word's value, and whether it was known."""
-        got = self.words.get(word)
-        if got is not None:
-            return got, True
-        got = self.old_words.get(word)
-        known = got is not None
-        if not known:
-            got = self.pack(self.encoder.word_ids(word))
-        if len(word) <= CACHE_CHARS:
-            if len(self.words) >= CACHE_CHUNKS:
-                self.old_words, self.words = self.words, {}
-            self.words[word] = got
-        return got, known
-
-    def __missing__(self, chunk: str):
-        got, known = self.old.get(chunk), True
-        if got is None:
-            if chunk.isascii() or max(chunk) <= "\xff":
-                low = chunk.lower()
-                if low.isalpha():
-                    got, known = self.word(low)
-                elif low[-1] in _PLAIN_ENDS and low[:-1].isalpha():
-                    got, known = self.word(low[:-1])
-                    got = got + self.marks[low[-1]]
-            if got is None:
-                got = self.value(chunk)
-        if known and len(chunk) <= CACHE_CHARS:
+    def keep(self, chunk: str, got) -> None:
+        if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_CHUNKS + len(self.start):
                 self.old = dict(self)
                 self.clear()
                 self.update(self.start)
             self[chunk] = got
+
+    def __missing__(self, chunk: str):
+        got = self.old.get(chunk)
+        if got is None:
+            low = chunk.lower() if chunk.isascii() or max(chunk) <= "\xff" else ""
+            mark = None
+            if not low.isalpha():
+                low, mark = (low[:-1], low[-1]) if low and low[-1] in _PLAIN_ENDS and low[:-1].isalpha() else ("", None)
+            if not low:
+                got = self.value(chunk)
+            elif low == chunk:
+                got = self.pack(self.encoder.word_ids(low))
+            else:
+                got = self.get(low)
+                if got is None:
+                    got = self.old.get(low)
+                if got is None:
+                    got = self.pack(self.encoder.word_ids(low))
+                    self.keep(low, got)
+                    return got if mark is None else got + self.marks[mark]
+                if mark is not None:
+                    got = got + self.marks[mark]
+        self.keep(chunk, got)
         return got
 
 

@@ -184,7 +184,7 @@ def best_fit_packing(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_I
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``width`` rows
     slots = plan_slots(histogram, width)
     carried = "ids" if keep_ids else "ids_crc32"
-    ranked = cut.join(broadcast_if_small(starts), ["length", "task"]).select("doc_id", "piece", "start", "length", carried, (F.col("base") + F.col("local_rank")).alias("rank"))
+    ranked = cut.join(broadcast_if_small(starts, 1 << 18), ["length", "task"]).select("doc_id", "piece", "start", "length", carried, (F.col("base") + F.col("local_rank")).alias("rank"))
     schema = f"doc_id long, piece int, start long, length long, {carried} {'binary' if keep_ids else 'long'}, sequence_id long, offset long"
     placed = ranked.mapInArrow(_place(slots), schema)
     crc = F.crc32("ids") if keep_ids else F.col("ids_crc32")  # of the ids that lie in their sequence

@@ -397,6 +397,37 @@ def test_quality_rules(docs):
         assert r["n_kept_without"] == sum(not b["failed"] & whole & ~bit for b in book)
 
 
+def test_repeated_words_of_long_texts():
+    rnd = random.Random(3)
+    for n in (5, 6, 30, 400):
+        for _ in range(60):
+            words = [rnd.choice([b"a", b"b", b"c", b"d"][: rnd.randint(1, 4)]) for _ in range(n)]
+            text = b" ".join(words).decode()
+            for width in (2, 3, 5, 6, 8):
+                windows = [tuple(words[i : i + width]) for i in range(n - width + 1)]
+                times = Counter(windows)
+                want = len({i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(width)})
+                assert quality_rules._repeated_in_long(words, width) == want if n - width + 1 >= 2 else True
+                assert quality_rules.repeated_words(words, width) == want
+            assert quality_rules.measure(text)[4] == brute.rules(text)[4]
+
+
+def test_merge_finds_runs(spark):
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    runs = [sorted((f"{rnd.randrange(300):064x}", 1, 5) for _ in range(200)) for _ in range(4)]
+    rows = [(s, c, n, 1, 10, i, i) for i, (s, c, n) in enumerate(r for run in runs for r in run)]
+    names = [c.split()[0] for c in exact_dedup.RUN.split(", ")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + 57]]) for i in range(0, len(rows), 57)]
+    merged = [r for b in exact_dedup._merge_runs(iter(batches)) for r in b.to_pylist()]
+    assert [r["text_sha256"] for r in merged] == sorted({r[0] for r in rows}) and sum(r["n_rows"] for r in merged) == len(rows)
+    least = {}
+    for r in rows:
+        least[r[0]] = min(least.get(r[0], r[5]), r[5])
+    assert {r["text_sha256"]: r["keep_id"] for r in merged} == least
+
+
 def check_packing(rows, width=4096):
     by = {}
     for r in rows:
