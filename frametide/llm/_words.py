@@ -156,20 +156,11 @@ class ChunkLengths(_Cache):
         return len(ids)
 
 
-#: Bytes that a packed id takes until it is handed out; a larger vocabulary fails when it is loaded.
-ID_BYTES = 2
-
-
 class ChunkIds(_Cache):
-    """Chunk -> its ids as packed unsigned integers of ``ID_BYTES``."""
-
-    def __init__(self, path: str, start: dict):
-        super().__init__(path, start)
-        if self.encoder.tok.get_vocab_size() > 1 << 8 * ID_BYTES:
-            raise ValueError(f"{path}: ids don't fit {ID_BYTES} bytes")
+    """Chunk -> its ids as packed unsigned 32-bit integers."""
 
     def pack(self, ids: list[int]) -> bytes:
-        return array("H", ids).tobytes()
+        return array("I", ids).tobytes()
 
 
 _IDS: dict[str, ChunkIds] = {}

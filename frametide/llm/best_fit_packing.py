@@ -25,26 +25,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frametide.llm._common import broadcast_if_small, materialise, pick, table
-from frametide.llm._words import ID_BYTES, chunks, id_cache, tokenizer_path
+from frametide.llm._common import broadcast_if_small, discard, materialise, pick, table
+from frametide.llm._words import chunks, id_cache, tokenizer_path
 
 WIDTH = 4096
 END_ID = 1
-#: Bytes of ids after which a task hands pieces on, and pieces that it places at a time.
+#: Bytes of ids after which a task hands pieces on.
 BATCH_BYTES = 8 << 20
-_PLACED_ROWS = 1024
+#: Most starts that are broadcast.
+MOST_STARTS = 1 << 18
 
 
 def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Tokenises every whole text and cuts what is longer than ``width``.
 
     Columns: doc_id, piece, start, length, task and local_rank (the piece's
-    number among those of its length in its task), and ids (binary, ``ID_BYTES``
-    each) if ``keep_ids``, else their ids_crc32.
+    number among those of its length in its task), and ids (binary) if
+    ``keep_ids``, else their ids_crc32.
     """
     path = tokenizer_path("word_bpe_49k.json", tokenizer)
-    wide = ID_BYTES
-    end = end_id.to_bytes(wide, "little")
+    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -63,10 +63,10 @@ def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokeniz
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = b"".join(map(ids_of, chunks(text.as_py() or ""))) + end
-                for n, at in enumerate(range(0, len(ids), wide * width)):
-                    part = ids[at : at + wide * width]
-                    size = len(part) // wide
-                    rows.append((doc, n, at // wide, size, part if keep_ids else zlib.crc32(widened(part)), task, ranks[size]))
+                for n, at in enumerate(range(0, len(ids), 4 * width)):
+                    part = ids[at : at + 4 * width]
+                    size = len(part) // 4
+                    rows.append((doc, n, at // 4, size, part if keep_ids else zlib.crc32(part), task, ranks[size]))
                     ranks[size] += 1
                 held += len(ids)
                 if keep_ids and held > BATCH_BYTES:
@@ -79,19 +79,6 @@ def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokeniz
     return docs.mapInArrow(run, f"doc_id long, piece int, start long, length long, {'ids binary' if keep_ids else 'ids_crc32 long'}, task int, local_rank long")
 
 
-def widened(ids: bytes) -> bytes:
-    """Packed ids as little-endian unsigned 32-bit integers."""
-    return np.frombuffer(ids, f"<u{ID_BYTES}").astype("<u4").tobytes()
-
-
-def _widened_column(ids: pa.Array) -> pa.Array:
-    """:func:`widened` of a whole column at once."""
-    _, offsets, data = ids.buffers()
-    at = np.frombuffer(offsets, np.int32, len(ids) + 1, 4 * ids.offset)
-    packed = np.frombuffer(data, f"<u{ID_BYTES}", (at[-1] - at[0]) // ID_BYTES, int(at[0])) if data is not None else np.zeros(0, np.uint16)
-    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(((at - at[0]) // ID_BYTES * 4).astype(np.int32).tobytes()), pa.py_buffer(packed.astype("<u4").tobytes())])
-
-
 def plan_slots(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, int, int, int, int]]:
     """Best-fit decreasing over counts: slots (length, first_rank, count, first_sequence, offset).
 
@@ -148,21 +135,19 @@ def plan_slots(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int,
     return slots
 
 
-def _place(slots: list[tuple[int, int, int, int, int]], rank_bits: int = 44):
-    """Gives each piece its sequence and offset: the last slot of its length that starts at or before its rank."""
+def _slots_of_starts(slots: list[tuple[int, int, int, int, int]], rank_bits: int = 44):
+    """Gives the pieces of one length in one task the slots that their ranks, base to base + n, lie in."""
     ordered = sorted(slots)
     keys = np.array([(s[0] << rank_bits) + s[1] for s in ordered], np.int64)
-    first_rank, first_sequence, offset = (np.array([s[i] for s in ordered], np.int64) for i in (1, 3, 4))
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("sequence", pa.int64()), ("offset", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, _PLACED_ROWS):
-                batch = whole.slice(first, _PLACED_ROWS)
-                length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-                at = np.searchsorted(keys, (length << rank_bits) + rank, "right") - 1
-                names = [n for n in batch.schema.names if n != "rank"]
-                columns = [_widened_column(batch.column(n)) if n == "ids" else batch.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(first_sequence[at] + rank - first_rank[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
+        for batch in batches:
+            length, base, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "base", "n"))
+            lo = np.searchsorted(keys, (length << rank_bits) + base, "right") - 1
+            hi = np.searchsorted(keys, (length << rank_bits) + base + n - 1, "right")
+            found = [[{"first": s[1], "sequence": s[3], "offset": s[4]} for s in ordered[a:b]] for a, b in zip(lo.tolist(), hi.tolist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("length", "task", "base")), pa.array(found, kind)], names=["length", "task", "base", "slots"])
 
     return run
 
@@ -178,17 +163,18 @@ def best_fit_packing(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_I
     than doc_id and text are ignored.
     """
     cut = materialise(pieces(docs, width=width, end_id=end_id, tokenizer=tokenizer, keep_ids=keep_ids), "pieces")
-    by_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
+    by_task = materialise(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "tasks")
+    histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``width`` rows
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    starts = materialise(by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("base")), "starts")
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``width`` rows
-    slots = plan_slots(histogram, width)
-    carried = "ids" if keep_ids else "ids_crc32"
-    ranked = cut.join(broadcast_if_small(starts, 1 << 18), ["length", "task"]).select("doc_id", "piece", "start", "length", carried, (F.col("base") + F.col("local_rank")).alias("rank"))
-    schema = f"doc_id long, piece int, start long, length long, {carried} {'binary' if keep_ids else 'long'}, sequence_id long, offset long"
-    placed = ranked.mapInArrow(_place(slots), schema)
+    starts = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"), "n")
+    starts = starts.mapInArrow(_slots_of_starts(plan_slots(histogram, width)), "length long, task int, base long, slots array<struct<first: long, sequence: long, offset: long>>")
+    starts = materialise(starts, "starts")
+    ranked = cut.join(broadcast_if_small(starts, MOST_STARTS), ["length", "task"]).withColumn("rank", F.col("base") + F.col("local_rank"))
+    placed = ranked.withColumn("slot", F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("rank")), -1))
     crc = F.crc32("ids") if keep_ids else F.col("ids_crc32")  # of the ids that lie in their sequence
-    return placed.select("doc_id", "piece", "start", "length", crc.alias("ids_crc32"), *(["ids"] if keep_ids else []), "sequence_id", "offset")
+    sequence = (F.col("slot.sequence") + F.col("rank") - F.col("slot.first")).alias("sequence_id")
+    discard(by_task)
+    return placed.select("doc_id", "piece", "start", "length", crc.alias("ids_crc32"), *(["ids"] if keep_ids else []), sequence, F.col("slot.offset").alias("offset"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
