@@ -93,10 +93,10 @@ def novel_hashes(candidates: DataFrame, key: str, order: list[str], bits: int =
     return ordered_fold(candidates, key, order, ["hash"], "_new boolean", keep).filter("_new").drop("_new")
 
 
-def feed_kills(hashes: DataFrame) -> DataFrame:
-    """Kills: a feed row that persists and isn't a recent one moved to another slot; session_id, frame."""
-    runs = persistent_hashes(hashes)
-    return novel_hashes(runs, "session_id", ["confirmed", "slot"]).select("session_id", "frame", "slot", "hash")
+def feed_kills(hashes: DataFrame, bits: int = MATCH_BITS, persistence: int = PERSISTENCE, history: int = HISTORY) -> DataFrame:
+    """Kills: a feed row that persists and isn't a recent one moved to another slot; session_id, frame, slot, hash."""
+    runs = persistent_hashes(hashes, bits, persistence)
+    return novel_hashes(runs, "session_id", ["confirmed", "slot"], bits, history).select("session_id", "frame", "slot", "hash")
 
 
 def target_spawns(counts: DataFrame, hold: int = SPAWN_FRAMES) -> DataFrame:

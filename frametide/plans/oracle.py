@@ -296,3 +296,60 @@ SQL["jitter_welch"] = (
     + """, s8 AS (SELECT clip_id, (power + lag(power) OVER w) / 2 * (f - lag(f) OVER w) AS a, f <= 30 AND lag(f) OVER w >= 8 AS inside FROM s7 WINDOW w AS (PARTITION BY clip_id ORDER BY k))
 SELECT ns.clip_id, round(CASE WHEN n < 8 THEN 0.0 ELSE (SELECT coalesce(sum(a) FILTER (WHERE inside), 0) / sum(a) FROM s8 WHERE s8.clip_id = ns.clip_id) END, 6) AS jitter_ratio FROM ns"""
 )
+
+_FEED = f"""WITH RECURSIVE {_FR}, h AS (
+  SELECT session_id, frame, 0 AS slot, CAST(floor(value / 20) AS BIGINT) AS hash FROM fr
+  UNION ALL SELECT session_id, frame, 1, CAST(floor(value / 10) AS BIGINT) FROM fr WHERE event_type = 'purchase'
+), f AS (SELECT *, CASE WHEN frame - lag(frame) OVER w = 1 AND bit_count(xor(hash, lag(hash) OVER w)) <= 1 THEN 0 ELSE 1 END AS starts FROM h WINDOW w AS (PARTITION BY session_id, slot ORDER BY frame)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY session_id, slot ORDER BY frame) AS run FROM f),
+c AS (SELECT *, row_number() OVER w AS k, min(frame) OVER w AS began FROM r WINDOW w AS (PARTITION BY session_id, slot, run ORDER BY frame)),
+o AS (SELECT session_id, slot, hash, began, row_number() OVER (PARTITION BY session_id ORDER BY frame, slot) AS n FROM c WHERE k = 2),
+g AS (SELECT DISTINCT session_id, 0::BIGINT AS n, []::BIGINT[] AS seen, false AS kept, 0 AS began, 0 AS slot, 0::BIGINT AS hash FROM o
+  UNION ALL
+  SELECT g.session_id, o.n, CASE WHEN dup THEN seen ELSE list_append(seen, o.hash)[-3:] END, NOT dup, o.began, o.slot, o.hash
+  FROM g JOIN o ON o.session_id = g.session_id AND o.n = g.n + 1, LATERAL (SELECT len(list_filter(seen, lambda s: bit_count(xor(s, o.hash)) <= 1)) > 0 AS dup)
+) SELECT session_id, CAST(began AS INTEGER) AS frame, CAST(slot AS INTEGER) AS slot, hash FROM g WHERE kept"""
+SQL["feed_kills"] = SQL["stream_feed_kills"] = _FEED
+
+SQL["stream_target_spawns"] = SQL["persistence_spawn"].rpartition(",\nh AS")[0] + "\nSELECT session_id, CAST(k - 1 AS INTEGER) AS frame, CAST(c AS INTEGER) AS n_targets FROM f WHERE hit"
+SQL["stream_budget"] = f"""WITH RECURSIVE {_REQ}, o AS (SELECT conv_id % 7 AS b, round(usd, 6) AS usd, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id, turn) AS k FROM us),
+f AS (SELECT DISTINCT b, 0::BIGINT AS k, 0.0::DOUBLE AS spent, 0.0::DOUBLE AS usd, false AS admitted FROM o
+  UNION ALL SELECT f.b, o.k, CASE WHEN spent + o.usd <= 3.0 THEN spent + o.usd ELSE spent END, o.usd, spent + o.usd <= 3.0 FROM f JOIN o ON o.b = f.b AND o.k = f.k + 1)
+SELECT b AS session_id, CAST(k - 1 AS INTEGER) AS frame, usd, admitted FROM f WHERE k > 0"""
+SQL["stream_token_bucket"] = SQL["token_bucket"].rpartition("\nSELECT")[0] + "\nSELECT b AS session_id, CAST(k - 1 AS INTEGER) AS frame, round(wait_s, 4) AS wait_s FROM f WHERE k > 0"
+SQL["model_lookup"] = """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'mine' WHEN c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0 THEN 'large'
+WHEN c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') THEN 'small' ELSE 'other' END AS model FROM customer"""
+# What was answered from the cache costs nothing and isn't asked: the budget sees the rest only.
+SQL["assess_requests"] = (
+    SQL["budget_admission"].rpartition("\nSELECT")[0].replace("FROM us)", "FROM us WHERE turn <> 1)", 1)
+    + """
+SELECT conv_id, turn, CASE WHEN admitted THEN 'ok' ELSE 'skipped' END AS ai_status, reason AS error, CASE WHEN admitted THEN 1 END::INTEGER AS input_tokens, CASE WHEN admitted THEN 2 END::INTEGER AS output_tokens FROM f WHERE k > 0
+UNION ALL SELECT conv_id, turn, 'cached', NULL, NULL, NULL FROM us WHERE turn = 1"""
+)
+
+#: The trace of every distinct window, begun anew at its first frame, in the names that the metrics above read.
+_WINDOWS = (
+    f"WITH w0 AS ({_EVENTS}"
+    + """, mw AS (SELECT * FROM eg QUALIFY row_number() OVER (PARTITION BY session_id, lo, hi ORDER BY group_no) = 1)
+  SELECT session_id || ':' || lo AS clip_id, frame - lo AS i, CASE WHEN frame > lo THEN value - 50 ELSE 0.0 END AS dx, CASE WHEN frame > lo THEN value % 7 - 3 ELSE 0.0 END AS dy,
+         event_type <> 'error' AS ok, hi - lo AS n, coalesce(first_shot - lo, hi - lo - 1) AS shot_idx, n_shots, n_hits, types, (first_shot - last_spawn) * 1000.0::DOUBLE / 60 AS rt, last_spawn IS NOT NULL AS stim
+  FROM fr JOIN mw USING (session_id) WHERE frame >= lo AND frame < hi
+), mo AS (SELECT clip_id, i, dx, dy, ok FROM w0)"""
+    + _TR[_TR.index(",\nac AS") : _TR.index(",\nns AS")]
+    + ", ns AS (SELECT DISTINCT clip_id, n, shot_idx FROM w0)"
+)
+_SETTLE = """, c AS (SELECT clip_id, i, t_ms, n, shot_idx AS f, sum(CASE WHEN speed < 15 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS slow FROM sp JOIN ns USING (clip_id))
+SELECT clip_id, min(CASE WHEN i > f AND slow = 3 AND f < n - 3 THEN t_ms END) - max(CASE WHEN i = f THEN t_ms END) AS settle FROM c GROUP BY 1"""
+
+
+def _of_windows(name: str) -> str:
+    return f"({_WINDOWS}{SQL[name].removeprefix(_TR)})"
+
+
+SQL["review_measures"] = f"""SELECT w.clip_id, confidence AS trace_confidence, path_efficiency, placement_error_deg AS crosshair_placement_error_deg,
+  peak_error_deg AS peak_angular_error_deg, sparc AS smoothness_sparc, jitter_ratio, round(settle, 6) AS target_switch_ms, round(rt, 6) AS reaction_time_ms,
+  CASE WHEN n_hits > 0 THEN 0.0::DOUBLE END AS headshot_pct, overshoot_count, n_shots AS shots_fired, n_hits AS shots_hit, {_LABEL} AS event_type,
+  CAST((stim AND n_shots > 0)::INTEGER + (jitter_ratio IS NULL)::INTEGER + (n_shots > 0 AND NOT stim)::INTEGER AS INTEGER) AS n_warnings
+FROM ({_WINDOWS} SELECT DISTINCT clip_id, n_shots, n_hits, types, rt, stim FROM w0) w
+JOIN {_of_windows("trace_confidence")} USING (clip_id) JOIN {_of_windows("path_efficiency")} USING (clip_id) JOIN {_of_windows("placement_peak")} USING (clip_id)
+JOIN {_of_windows("overshoot")} USING (clip_id) JOIN {_of_windows("sparc")} USING (clip_id) JOIN {_of_windows("jitter_welch")} USING (clip_id) JOIN ({_WINDOWS}{_SETTLE}) USING (clip_id)"""

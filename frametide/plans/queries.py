@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frametide.functions import scalars as fn
-from frametide.operators import compose, cost, detect, geometry, metrics, records, select, spectral, traces
+from frametide.operators import assess, compose, cost, detect, geometry, metrics, records, select, spectral, traces
 from frametide.plans import review as plan
 from frametide.sources import tables
 from frametide.sources.media import flick_path
@@ -69,6 +70,19 @@ def feed_persistence(spark, d):
     return detect.persistent_hashes(h, bits=1, persistence=2).select("session_id", "slot", "frame", "confirmed")
 
 
+def _feed(spark, d):
+    """A feed of one row a frame, and of a second one under purchases."""
+    f = tables.frames(spark, d)
+    rows = F.when(F.col("event_type") == "purchase", F.array(F.floor(F.col("value") / 20), F.floor(F.col("value") / 10))).otherwise(F.array(F.floor(F.col("value") / 20)))
+    return f.select("session_id", "frame", rows.cast("array<bigint>").alias("hashes"))
+
+
+@query
+def feed_kills(spark, d):
+    h = _feed(spark, d).select("session_id", "frame", F.posexplode("hashes").alias("slot", "hash"))
+    return detect.feed_kills(h, bits=1, persistence=2, history=3)
+
+
 @query
 def slot_assignment(spark, d):
     rows = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.lit(0).alias("frame"), F.col("l_linenumber").alias("row"), F.col("l_quantity").alias("std"), (F.col("l_discount") * 10).alias("uniformity"))
@@ -80,11 +94,15 @@ def bg_uniformity(spark, d):
     return detect.background_uniformity(tables.table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity").select("l_suppkey", "mode", r6("uniformity").alias("uniformity"))
 
 
-@query
-def persistence_spawn(spark, d):
+def _daily(spark, d):
     e = tables.table(spark, d, "events").groupBy(F.col("user_id").alias("session_id"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n_targets"))
     w = Window.partitionBy("session_id").orderBy("day")
-    return detect.target_spawns(e.select("session_id", (F.row_number().over(w) - 1).alias("frame"), "n_targets"))
+    return e.select("session_id", (F.row_number().over(w) - 1).alias("frame"), "n_targets")
+
+
+@query
+def persistence_spawn(spark, d):
+    return detect.target_spawns(_daily(spark, d))
 
 
 @query
@@ -410,6 +428,15 @@ def weakness_synthesis(spark, d):
 # --- cost
 
 
+@query
+def model_lookup(spark, d):
+    models = spark.createDataFrame([("BUILDING", "clip", "small"), ("BUILDING", "synthesis", "large"), ("AUTOMOBILE", "clip", "other"), ("MACHINERY", "clip", "small"), ("HOUSEHOLD", "clip", "other"), ("FURNITURE", "clip", "small")], "provider string, tier string, model string")
+    c = tables.table(spark, d, "customer")
+    tier = F.when((F.col("c_mktsegment") == "BUILDING") & (F.col("c_custkey") % 2 == 0), "synthesis")
+    asked = c.select("c_custkey", F.col("c_mktsegment").alias("provider"), tier.alias("tier"), F.when(F.col("c_custkey") % 5 == 0, "mine").alias("model"))
+    return cost.model_defaults(asked, models).select("c_custkey", "model")
+
+
 def _requests(spark, d):
     c = tables.table(spark, d, "conversations")
     return c.select("conv_id", "turn", F.when(F.col("role") == "assistant", "large").when(F.col("role") == "user", "small").otherwise("unlisted").alias("model"), fn.text_tokens("text").alias("input_tokens"), "text")
@@ -575,9 +602,57 @@ def stream_rising_edge(spark, d):
     return stateful.through_stream(_scores(spark, d), lambda s: stateful.stream_rising_edges(s, 80.0))
 
 
+@query
+def stream_feed_kills(spark, d):
+    return stateful.through_stream(_feed(spark, d), lambda s: stateful.stream_feed_kills(s, bits=1, persistence=2, history=3))
+
+
+@query
+def stream_target_spawns(spark, d):
+    counts = _daily(spark, d).select("session_id", "frame", F.col("n_targets").cast("int").alias("n_targets"))
+    return stateful.through_stream(counts, stateful.stream_target_spawns)
+
+
+def _in_turn(requests):
+    """Requests of a budget as frames of a session, in order."""
+    w = Window.partitionBy("session_id").orderBy("conv_id", "turn")
+    return requests.withColumn("session_id", F.col("conv_id") % 7).withColumn("frame", (F.row_number().over(w) - 1).cast("int"))
+
+
+@query
+def stream_budget(spark, d):
+    p = _in_turn(cost.price_requests(_requests(spark, d), _prices(spark))).select("session_id", "frame", r6("usd").alias("usd"))
+    return stateful.through_stream(p, lambda s: stateful.stream_budget(s, 3.0)).select("session_id", "frame", r6("usd").alias("usd"), "admitted")
+
+
+@query
+def stream_token_bucket(spark, d):
+    a = _in_turn(_requests(spark, d)).select("session_id", "frame", ((F.col("frame") + 1) * 5 + F.col("input_tokens") % 4).cast("double").alias("at"))
+    return stateful.through_stream(a, lambda s: stateful.stream_token_bucket(s, cost.RATE_PER_S, cost.BURST)).select("session_id", "frame", F.round("wait_s", 4).alias("wait_s"))
+
+
 # --- whole
 
 
+@query
+def review_measures(spark, d):
+    """What is measured of every distinct window, before any is picked."""
+    events, lengths = _events(spark, d)
+    m = plan.measure(compose.merge_windows(compose.engagements(events, lengths, SLOW.fps)), tables.motion(spark, d), plan.Settings())
+    numbers = ("trace_confidence", "path_efficiency", "crosshair_placement_error_deg", "peak_angular_error_deg", "smoothness_sparc", "jitter_ratio", "target_switch_ms", "reaction_time_ms", "headshot_pct")
+    return m.select("clip_id", *[r6(c).alias(c) for c in numbers], "overshoot_count", "shots_fired", "shots_hit", "event_type", F.size("cv_warnings").alias("n_warnings"))
+
+
+@query
+def assess_requests(spark, d):
+    """Requests through cache, budget and a stand-in for the paid call."""
+    p = cost.price_requests(_requests(spark, d), _prices(spark)).withColumns({"budget": F.col("conv_id") % 7, "usd": r6("usd"), "key": F.concat_ws(":", "conv_id", "turn"), "prompt": F.lit("x")})
+    cache = p.filter("turn = 1").select("key", F.lit("{}").alias("payload"), F.lit(0.0).alias("created_at"))
+    answer = json.dumps({name: "x" for name in records.REQUIRED})
+    got = assess.assess(p.select("key", "prompt", "usd", "budget", "conv_id", "turn"), cache, lambda prompt, hint: (answer, {"input_tokens": len(prompt), "output_tokens": 2}), budget_key="budget", order=["conv_id", "turn"], session="conv_id", session_usd=0.5, month_usd=3.0)
+    return got.select("conv_id", "turn", "ai_status", "error", "input_tokens", "output_tokens")
+
+
 @query
 def review(spark, d):
     """The whole plan at 60 frames a second: one nested record a picked engagement."""
