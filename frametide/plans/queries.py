@@ -13,6 +13,7 @@ from frametide.operators import assess, compose, cost, detect, geometry, metrics
 from frametide.plans import review as plan
 from frametide.sources import tables
 from frametide.sources.media import flick_path
+from frametide.sources.scratch import written
 from frametide.streaming import stateful
 from frametide.streaming.stateful import session_engagements
 
@@ -38,8 +39,13 @@ def counter_decrement(spark, d):
     return detect.counter_decrements(tables.counter_readings(spark, d))
 
 
-def _scores(spark, d):
-    return tables.frames(spark, d).select("session_id", "frame", F.when(F.col("event_type") != "error", F.col("value")).alias("score"))
+def _frames(spark, d):
+    """Frames numbered once, for queries that read them in several ways."""
+    return written(tables.frames(spark, d), "frames")
+
+
+def _scores(spark, d, f=None):
+    return (tables.frames(spark, d) if f is None else f).select("session_id", "frame", F.when(F.col("event_type") != "error", F.col("value")).alias("score"))
 
 
 @query
@@ -129,28 +135,31 @@ def read_digits(spark, d):
 # --- pairing and grouping
 
 
-def _shots(spark, d):
-    f = tables.frames(spark, d).filter("event_type = 'click'").withColumn("nth", F.lit(1))
-    return plan.numbered(f.select("session_id", "frame", "nth"), "si", "frame")
+def _shots(f):
+    clicks = f.filter("event_type = 'click'").withColumn("nth", F.lit(1))
+    return plan.numbered(clicks.select("session_id", "frame", "nth"), "si", "frame")
 
 
-def _hits(spark, d):
-    return plan.numbered(tables.frames(spark, d).filter("event_type = 'purchase'").select("session_id", "frame"), "hi", "frame")
+def _hits(f):
+    return plan.numbered(f.filter("event_type = 'purchase'").select("session_id", "frame"), "hi", "frame")
 
 
 @query
 def band_pairs(spark, d):
-    return compose.band_pairs(_shots(spark, d), _hits(spark, d))
+    f = _frames(spark, d)
+    return compose.band_pairs(_shots(f), _hits(f))
 
 
 @query
 def band_match(spark, d):
-    return compose.greedy_matches(compose.band_pairs(_shots(spark, d), _hits(spark, d)))
+    f = _frames(spark, d)
+    return compose.greedy_matches(compose.band_pairs(_shots(f), _hits(f)))
 
 
 @query
 def band_match_whiff(spark, d):
-    return compose.derive_events(_shots(spark, d), _hits(spark, d))
+    f = _frames(spark, d)
+    return compose.derive_events(written(_shots(f), "shots"), written(_hits(f), "hits"))
 
 
 @query
@@ -186,10 +195,10 @@ def clip_window(spark, d):
 SLOW = plan.Settings(fps=10.0)
 
 
-def _events(spark, d):
-    f = tables.frames(spark, d)
-    shots = detect.counter_decrements(tables.counter_readings(spark, d))
-    hits = detect.rising_edges(_scores(spark, d), 80.0)
+def _events(spark, d, f=None):
+    f = _frames(spark, d) if f is None else f
+    shots = detect.counter_decrements(tables.counter_readings(spark, d, f))
+    hits = detect.rising_edges(_scores(spark, d, f), 80.0)
     kind = F.when(F.col("event_type") == "purchase", "kill").when(F.col("event_type") == "signup", "target_spawn")
     extra = f.select("session_id", "frame", kind.alias("type")).filter("type IS NOT NULL")
     return plan.all_events(shots, hits, [extra]), f.groupBy("session_id").agg(F.count("*").cast("int").alias("n"))
@@ -637,8 +646,9 @@ def stream_token_bucket(spark, d):
 @query
 def review_measures(spark, d):
     """What is measured of every distinct window, before any is picked."""
-    events, lengths = _events(spark, d)
-    m = plan.measure(compose.merge_windows(compose.engagements(events, lengths, SLOW.fps)), tables.motion(spark, d), plan.Settings())
+    f = _frames(spark, d)
+    events, lengths = _events(spark, d, f)
+    m = plan.measure(compose.merge_windows(compose.engagements(events, lengths, SLOW.fps)), tables.motion(spark, d, f), plan.Settings())
     numbers = ("trace_confidence", "path_efficiency", "crosshair_placement_error_deg", "peak_angular_error_deg", "smoothness_sparc", "jitter_ratio", "target_switch_ms", "reaction_time_ms", "headshot_pct")
     return m.select("clip_id", *[r6(c).alias(c) for c in numbers], "overshoot_count", "shots_fired", "shots_hit", "event_type", F.size("cv_warnings").alias("n_warnings"))
 
@@ -656,13 +666,15 @@ def assess_requests(spark, d):
 @query
 def review(spark, d):
     """The whole plan at 60 frames a second: one nested record a picked engagement."""
-    events, lengths = _events(spark, d)
-    return plan.review(events, lengths, tables.motion(spark, d), plan.Settings())
+    f = _frames(spark, d)
+    events, lengths = _events(spark, d, f)
+    return plan.review(events, lengths, tables.motion(spark, d, f), plan.Settings())
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """Which bursts are worth reviewing: engagements, scored, the eight highest of each session."""
-    events, lengths = _events(spark, d)
-    found = plan.candidates(events, lengths, tables.motion(spark, d), SLOW)
+    f = _frames(spark, d)
+    events, lengths = _events(spark, d, f)
+    found = plan.candidates(events, lengths, tables.motion(spark, d, f), SLOW)
     picked = select.diverse_top_k(found, SLOW.clips)
     return found.select("session_id", "idx", "lo", "hi", "event_type", "shots_fired", "shots_hit").join(picked, ["session_id", "idx"])
