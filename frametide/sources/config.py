@@ -8,7 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PROFILE = "game string, fov_degrees double, shot_signal string, kill_feed_rows int, feed_row_uniformity double, rois map<string,struct<x:double,y:double,w:double,h:double>>, flow_exclude array<struct<x:double,y:double,w:double,h:double>>, target_hsv struct<lower:array<int>,upper:array<int>>"
+#: Endings of recordings, and what a profile may leave out.
 VIDEO_SUFFIXES = (".mp4", ".mkv", ".mov", ".avi", ".webm", ".m4v", ".flv", ".wmv")
+PROFILE_DEFAULTS = {"shot_signal": "ammo_decrement", "kill_feed_rows": 5, "feed_row_uniformity": 0.70}
 
 
 def _roi(name: str, box) -> dict[str, float]:
@@ -18,17 +20,20 @@ def _roi(name: str, box) -> dict[str, float]:
 
 
 def parse_profile(text: str) -> dict:
-    """A profile from YAML (or JSON, which is YAML), checked, with defaults."""
+    """A profile from YAML (or JSON, which is YAML), checked, with defaults; one without a game or a field of view fails."""
     import yaml
 
-    raw = yaml.safe_load(text)
+    raw = PROFILE_DEFAULTS | yaml.safe_load(text)
+    missing = [k for k in ("game", "fov_degrees") if raw.get(k) is None]
+    if missing:
+        raise ValueError(f"a profile needs {' and '.join(missing)}")
     hsv = raw.get("target_hsv")
     return {
         "game": raw["game"],
-        "fov_degrees": float(raw.get("fov_degrees", 103.0)),
-        "shot_signal": raw.get("shot_signal", "ammo_decrement"),
-        "kill_feed_rows": int(raw.get("kill_feed_rows", 5)),
-        "feed_row_uniformity": float(raw.get("feed_row_uniformity", 0.70)),
+        "fov_degrees": float(raw["fov_degrees"]),
+        "shot_signal": raw["shot_signal"],
+        "kill_feed_rows": int(raw["kill_feed_rows"]),
+        "feed_row_uniformity": float(raw["feed_row_uniformity"]),
         "rois": {k: _roi(k, v) for k, v in (raw.get("rois") or {}).items()},
         "flow_exclude": [_roi("flow_exclude", v) for v in raw.get("flow_exclude") or []],
         "target_hsv": {"lower": list(hsv["lower"]), "upper": list(hsv["upper"])} if hsv else None,
@@ -65,6 +70,13 @@ def load_prices(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, input double, output double")
 
 
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    """provider, tier, model from a JSON object by provider and tier, for ``cost.model_defaults``; keys that begin with an underscore are notes."""
+    raw = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    rows = [(p, t, m) for p, tiers in raw.items() if not p.startswith("_") for t, m in tiers.items()]
+    return spark.createDataFrame(rows, "provider string, tier string, model string")
+
+
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
     """key, payload, created_at: the assessments' cache, a Parquet table that grows by appending; read it through ``latest_wins``."""
     return spark.read.schema("key string, payload string, created_at double").parquet(path)

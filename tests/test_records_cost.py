@@ -104,13 +104,22 @@ def test_prices(spark, tmp_path):
 
 
 def test_profiles(spark, tmp_path):
-    (tmp_path / "one.yaml").write_text("game: one\nrois:\n  ammo: [0.86, 0.88, 0.11, 0.08]\nflow_exclude:\n  - [0.0, 0.0, 0.2, 0.2]\n")
+    (tmp_path / "one.yaml").write_text("game: one\nfov_degrees: 103\nrois:\n  ammo: [0.86, 0.88, 0.11, 0.08]\nflow_exclude:\n  - [0.0, 0.0, 0.2, 0.2]\n")
     row = config.load_profile(spark, "one", str(tmp_path)).first()
     assert row["fov_degrees"] == 103.0 and row["rois"]["ammo"]["w"] == 0.11 and row["target_hsv"] is None
     with pytest.raises(FileNotFoundError, match="one"):
         config.load_profile(spark, "two", str(tmp_path))
     with pytest.raises(ValueError, match="inside the frame"):
-        config.parse_profile("game: x\nrois:\n  a: [0.5, 0.5, 0.6, 0.1]\n")
+        config.parse_profile("game: x\nfov_degrees: 90\nrois:\n  a: [0.5, 0.5, 0.6, 0.1]\n")
+    with pytest.raises(ValueError, match="needs fov_degrees"):
+        config.parse_profile("game: x\n")
+
+
+def test_models(spark, tmp_path):
+    path = tmp_path / "models.json"
+    path.write_text('{"_note": {"x": "y"}, "a": {"clip": "small", "synthesis": "large"}, "b": {"clip": "other"}}')
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "id long, provider string")
+    assert {r["id"]: r["model"] for r in cost.model_defaults(asked, config.load_models(spark, str(path))).collect()} == {1: "small", 2: "other"}
 
 
 def test_regions(spark):
