@@ -41,13 +41,17 @@ def _hadoop(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *, few: bool = False) -> DataFrame:
     """``df`` as a written table: computed once however often it is read, and not again when executors are lost.
 
-    It goes with :func:`discard`, or when the driver's JVM ends.
+    ``few``: at most two files a core, for tables of a few numbers a row, which
+    as many files as there are shuffle partitions would make all overhead. The
+    table goes with :func:`discard`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if few:
+        df = df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
