@@ -78,7 +78,7 @@ def keep_rows(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> Data
     cols = docs.columns
     plain = _numbered(docs)
     view = plain.select(*[F.col(f"_c{cols.index(n)}").alias(n) for n in ("doc_id", "text")], UID)
-    gone = materialise(decide(view).filter("NOT kept").select(UID), "gone")
+    gone = materialise(decide(view).filter("NOT kept").select(UID), "gone", few=True)
     return plain.join(broadcast_if_small(gone), UID, "left_anti").drop(UID).toDF(*cols)
 
 

@@ -23,7 +23,7 @@ def _stars(edges: DataFrame, n: int, large: bool) -> DataFrame:
     """``edges``, ``n`` of them, have u > v. Large: links each larger neighbour of a vertex to its least one; small: each smaller neighbour, and itself."""
     near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-    least = materialise(least, "least")
+    least = materialise(least, "least", few=True)
     joined = skew_join(near, least, ["u"], "n", 2 * n if large else n, ["v"])
     if large:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -37,11 +37,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     dropped; no edges give no rows.
     """
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialise(now, label)
+    now = materialise(now, label, few=True)
     before, state = None, _state(now)
     while state != before and state[0]:
-        large = materialise(_stars(now, state[0], large=True).distinct(), label)
-        small = materialise(_stars(large, state[0], large=False).filter("u <> v").distinct(), label)
+        large = materialise(_stars(now, state[0], large=True).distinct(), label, few=True)
+        small = materialise(_stars(large, state[0], large=False).filter("u <> v").distinct(), label, few=True)
         discard(now, large)
         now, before, state = small, state, _state(small)
     return now

@@ -163,12 +163,12 @@ def best_fit_packing(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_I
     than doc_id and text are ignored.
     """
     cut = materialise(pieces(docs, width=width, end_id=end_id, tokenizer=tokenizer, keep_ids=keep_ids), "pieces")
-    by_task = materialise(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "tasks")
+    by_task = materialise(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "tasks", few=True)
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``width`` rows
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     starts = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"), "n")
     starts = starts.mapInArrow(_slots_of_starts(plan_slots(histogram, width)), "length long, task int, base long, slots array<struct<first: long, sequence: long, offset: long>>")
-    starts = materialise(starts, "starts")
+    starts = materialise(starts, "starts", few=True)
     ranked = cut.join(broadcast_if_small(starts, MOST_STARTS), ["length", "task"]).withColumn("rank", F.col("base") + F.col("local_rank"))
     placed = ranked.withColumn("slot", F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("rank")), -1))
     crc = F.crc32("ids") if keep_ids else F.col("ids_crc32")  # of the ids that lie in their sequence

@@ -240,10 +240,10 @@ def read_back(forest: Forest, page: int = PAGE) -> DataFrame:
     ends = skew_join(convs, last, ["node"], "n_conversations", convs.count(), ["uid"])
     spans = ends.select("uid", "conv_id", "whole", F.explode("spans").alias("s"))
     pages = F.sequence(F.floor(F.col("s.start") / page), F.floor((F.col("s.end") - 1) / page))
-    spans = materialise(spans.select("uid", "conv_id", "whole", "s.start", "s.end", F.explode(pages).alias("page")), "spans")
+    spans = materialise(spans.select("uid", "conv_id", "whole", "s.start", "s.end", F.explode(pages).alias("page")), "spans", few=True)
     reached = spans.groupBy("page").agg(F.count("*").alias("n"))
     emission = nodes.select(F.floor(F.col("start") / page).alias("page"), F.col("start").alias("at"), "position", "formatted", "loss_start", "loss_chars")
-    met = skew_join(spans, emission, ["page"], "n", spans.count(), ["uid"], weights=materialise(reached, "reached")).filter("at >= start AND at < end")
+    met = skew_join(spans, emission, ["page"], "n", spans.count(), ["uid"], weights=materialise(reached, "reached", few=True)).filter("at >= start AND at < end")
     found = met.select("uid", "conv_id", "whole", "at", "position", "formatted", "loss_start", "loss_chars").repartition("uid").sortWithinPartitions("uid", "at")
     return found.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -161,7 +161,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     columns other than doc_id and text are ignored.
     """
     digests = materialise(digest_table(docs), "digests")
-    groups = materialise(merge_runs(digests), "groups")
+    groups = materialise(merge_runs(digests), "groups", few=True)
     joined = skew_join(digests, groups.withColumn("group_size", F.col("n_rows")), KEY, "n_rows", digests.count(), ["uid"])
     return joined.select(
         "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "n_chars", "uid"

@@ -72,7 +72,7 @@ def external_shuffle(records: DataFrame, *, key: str, size: str, shards: int = S
     cols = [c for c in records.columns if c not in ("shard", "slot", "grown_shard")]
     placed = records.select(*cols, rendezvous(F.col(key), shards, seed).alias("shard"), rendezvous(F.col(key), shards + 1, seed).alias("grown_shard"), F.xxhash64(F.lit(seed + 1), *cols).alias("_h"))
     hashes = placed.groupBy("shard", "_h").agg(F.count("*").alias("_n"), (F.coalesce(F.sum(F.expr(size)), F.lit(0)) + 64 * F.count("*")).alias("_b"))
-    hashes = materialise(hashes, "hashes")  # numbers only: 28 bytes a record
+    hashes = materialise(hashes, "hashes", few=True)  # numbers only: 28 bytes a record
     held = {r["shard"]: int(r["b"]) for r in hashes.groupBy("shard").agg(F.sum("_b").alias("b")).collect()}  # one row a shard
     counts = [max(1, -(-held.get(i, 0) // bucket_bytes)) for i in range(shards)]
     n_buckets = sum(counts)
@@ -87,7 +87,7 @@ def external_shuffle(records: DataFrame, *, key: str, size: str, shards: int = S
     sums = each.select("shard", bucket(F.col("_j")), in_each.alias("_n")).groupBy("shard", "_bucket").agg(F.sum("_n").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     # One row a bucket, a thousand for 30 GB.
-    plan = materialise(sums.select("_bucket", F.coalesce(before, F.lit(0)).alias("_base")).join(_dealt_keys(spark, n_buckets), "_bucket"), "buckets")
+    plan = materialise(sums.select("_bucket", F.coalesce(before, F.lit(0)).alias("_base")).join(_dealt_keys(spark, n_buckets), "_bucket"), "buckets", few=True)
 
     n_repeats = hashes.filter("_many").count()
     if n_repeats:

@@ -229,7 +229,7 @@ def _split(rows: DataFrame, depth: int, most: int) -> DataFrame:
     lengths = F.array(*[F.lit(bits) for _, bits in PARTS])
     while depth < max(bits for _, bits in PARTS):
         large = rows.groupBy(*_UNIT).agg(F.count("*").alias("n")).filter((F.col("n") > most) & (F.col("depth") < lengths[F.col("part")]))
-        large = materialise(large.drop("n"), "large")
+        large = materialise(large.drop("n"), "large", few=True)
         if large.isEmpty():
             break
         done.append(rows.join(large, _UNIT, "left_anti"))
@@ -277,12 +277,12 @@ def fingerprint_groups(fps: DataFrame) -> DataFrame:
     has_uid = UID in fps.columns
     uid = F.col(UID) if has_uid else F.lit(0).cast("long")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", uid.alias("uid")))
-    distinct = materialise(fps.groupBy("fp").agg(F.count("*").alias("n_rows"), best.alias("best")), "distinct")
+    distinct = materialise(fps.groupBy("fp").agg(F.count("*").alias("n_rows"), best.alias("best")), "distinct", few=True)
     stars = components(links(distinct.select("fp"), distinct.count()), "stars")
     placed = distinct.join(stars.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp")).drop("v")
-    placed = materialise(placed, "placed")
+    placed = materialise(placed, "placed", few=True)
     roots = placed.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n_fps"))
-    joined = skew_join(placed.select("fp", "n_rows", "root"), materialise(roots, "roots"), ["root"], "n_fps", placed.count(), ["fp"])
+    joined = skew_join(placed.select("fp", "n_rows", "root"), materialise(roots, "roots", few=True), ["root"], "n_fps", placed.count(), ["fp"])
     return joined.select("fp", "n_rows", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("keep_uid"))
 
 
@@ -299,7 +299,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     """
     rows = docs if UID in docs.columns else pick(docs, "doc_id", "text").withColumn(UID, F.monotonically_increasing_id())
     fps = materialise(fingerprints(rows), "fingerprints")
-    groups = materialise(fingerprint_groups(fps), "groups")
+    groups = materialise(fingerprint_groups(fps), "groups", few=True)
     joined = skew_join(fps, groups, ["fp"], "n_rows", fps.count(), [UID])
     return joined.select("doc_id", hex_unsigned(F.col("fp")).alias("fingerprint"), "component_id", (F.col(UID) == F.col("keep_uid")).alias("kept"), UID)
 

@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, feature
     counts as toxic if any of its labels says so. A doc_id that repeats in
     ``docs`` counts once, with the text of the smallest hash.
     """
-    sample = materialise(labelled_sample(docs, labels, rows), "labelled")
+    sample = materialise(labelled_sample(docs, labels, rows), "labelled", few=True)
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents and toxic documents that use each feature, added up before they leave the task."""

@@ -54,3 +54,24 @@ def test_stages_against_brute_force(spark, tables):
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == sorted(brute.pieces(left))
     check_packing(packed)
     assert sorted((r["doc_id"], r["piece"]) for r in corpus_pipeline.run(spark, folder).collect()) == sorted((r["doc_id"], r["piece"]) for r in packed)
+
+
+def test_stages_of_an_empty_table_and_of_clashing_columns(spark, tables, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder, rows = tables
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/empty/labels.parquet")
+    done = corpus_pipeline.run(spark, f"{tmp_path}/empty")
+    assert done.count() == 0 and {"doc_id", "sequence_id", "ids"} <= set(done.columns)
+    extra = {"kept": F.lit(1), "uid": F.lit("u"), "_c0": F.lit(2.0), "frametide_row_uid": F.lit(None).cast("string"), "component_id": F.lit(0), "n_words": F.lit(3), "failed": F.lit(9), "fp": F.lit("f")}
+    docs.withColumns(extra).write.parquet(f"{tmp_path}/clash/documents.parquet")
+    labels.withColumn("text", F.lit("other")).write.parquet(f"{tmp_path}/clash/labels.parquet")
+    clash = spark.read.parquet(f"{tmp_path}/clash/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, clash, f"{tmp_path}/clash")
+        assert left.columns == clash.columns, name
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["ids_crc32"])
+    got, want = (sorted(corpus_pipeline.run(spark, d).select("doc_id", "piece", "ids_crc32").collect(), key=key) for d in (f"{tmp_path}/clash", folder))
+    assert got == want
