@@ -353,3 +353,21 @@ SQL["review_measures"] = f"""SELECT w.clip_id, confidence AS trace_confidence, p
 FROM ({_WINDOWS} SELECT DISTINCT clip_id, n_shots, n_hits, types, rt, stim FROM w0) w
 JOIN {_of_windows("trace_confidence")} USING (clip_id) JOIN {_of_windows("path_efficiency")} USING (clip_id) JOIN {_of_windows("placement_peak")} USING (clip_id)
 JOIN {_of_windows("overshoot")} USING (clip_id) JOIN {_of_windows("sparc")} USING (clip_id) JOIN {_of_windows("jitter_welch")} USING (clip_id) JOIN ({_WINDOWS}{_SETTLE}) USING (clip_id)"""
+
+SQL["review_picks"] = f"""WITH RECURSIVE rm AS ({SQL["review_measures"]}),
+s AS (SELECT CAST(string_split(clip_id, ':')[1] AS BIGINT) % 10 AS session_id, clip_id, event_type, coalesce(reaction_time_ms, 0.0) AS rt, overshoot_count AS ov, coalesce(jitter_ratio, 0.0) AS jr, path_efficiency AS pe, smoothness_sparc AS sm,
+  shots_fired AS fired, shots_hit AS hit, row_number() OVER (PARTITION BY CAST(string_split(clip_id, ':')[1] AS BIGINT) % 10 ORDER BY CAST(string_split(clip_id, ':')[1] AS BIGINT), CAST(string_split(clip_id, ':')[2] AS INTEGER)) AS idx FROM rm),
+z AS (SELECT *, CASE WHEN stddev_pop(rt) OVER p >= 1e-9 THEN (rt - avg(rt) OVER p) / stddev_pop(rt) OVER p ELSE 0 END AS zrt, CASE WHEN stddev_pop(jr) OVER p >= 1e-9 THEN (jr - avg(jr) OVER p) / stddev_pop(jr) OVER p ELSE 0 END AS zjr
+  FROM s WINDOW p AS (PARTITION BY session_id)),
+c0 AS (SELECT session_id, idx, clip_id, event_type, [rt / 500, ov, jr * 3, coalesce(pe, 0.0), coalesce(sm, 0.0) / 3]::DOUBLE[] AS vec,
+  (2 * abs(zrt) + 1.5 * ov + 1.5 * zjr + (fired - hit) / greatest(1, fired)::DOUBLE + CASE WHEN event_type = 'whiff_then_death' THEN 1 ELSE 0 END)::DOUBLE AS score FROM z),
+g AS (SELECT session_id, list(clip_id ORDER BY idx) AS clips, list(event_type ORDER BY idx) AS kinds, list(vec ORDER BY idx) AS vecs, list(score ORDER BY idx) AS first, count(*) AS n FROM c0 GROUP BY 1),
+f AS (
+  SELECT session_id, 0 AS pick, first AS scores, 0::BIGINT AS place, 0.0::DOUBLE AS score, []::BIGINT[] AS taken FROM g
+  UNION ALL
+  SELECT f.session_id, pick + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i = pos THEN '-inf'::DOUBLE ELSE scores[i] - 2 * exp(-list_distance(vecs[i], vecs[pos])) END), pos, scores[pos], list_append(taken, pos)
+  FROM f JOIN g USING (session_id), LATERAL (SELECT list_position(scores, list_max(scores))::BIGINT AS pos) WHERE pick < least(8, n)
+), l AS (SELECT session_id, arg_max(taken, pick) AS all_taken, max(pick) AS last FROM f GROUP BY 1),
+c AS (SELECT g.session_id, list_position(first, list_min(first)) AS calm, list_min(first) AS low, clips, kinds, n, all_taken, last FROM g JOIN l USING (session_id)),
+p AS (SELECT session_id, pick, pick = last AND n > 8 AND NOT list_contains(all_taken, calm) AS swap, calm, low, place, score, clips, kinds FROM f JOIN c USING (session_id) WHERE pick > 0)
+SELECT session_id, clips[CASE WHEN swap THEN calm ELSE place END] AS clip_id, kinds[CASE WHEN swap THEN calm ELSE place END] AS event_type, pick, round(CASE WHEN swap THEN low ELSE score END, 4) AS score FROM p"""

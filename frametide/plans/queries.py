@@ -653,6 +653,17 @@ def review_measures(spark, d):
     return m.select("clip_id", *[r6(c).alias(c) for c in numbers], "overshoot_count", "shots_fired", "shots_hit", "event_type", F.size("cv_warnings").alias("n_warnings"))
 
 
+@query
+def review_picks(spark, d):
+    """The windows worth reviewing, of ten sessions at a time: scored, and picked for their variety."""
+    at = F.split("clip_id", ":")
+    m = review_measures(spark, d).withColumns({"of": at[0].cast("long"), "lo": at[1].cast("int")}).withColumn("session_id", F.col("of") % 10)
+    found = select.coachability(plan.numbered(m, "idx", "of", "lo")).withColumn("features", select.review_features())
+    found = written(found, "scored")
+    picked = select.diverse_top_k(found)
+    return picked.join(found.select("session_id", "idx", "clip_id", "event_type"), ["session_id", "idx"]).select("session_id", "clip_id", "event_type", "pick", F.round("score", 4).alias("score"))
+
+
 @query
 def assess_requests(spark, d):
     """Requests through cache, budget and a stand-in for the paid call."""
