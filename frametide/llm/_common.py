@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.sources.scratch import discard, written as materialise  # noqa: F401
+from frametide.sources.scratch import discard, written  # noqa: F401
 
 #: ASCII white space, the separators of every word rule in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,6 +23,21 @@ UID = "frametide_row_uid"
 MOST_FILES, MOST_BROADCAST = 20_000, 1 << 20
 
 
+#: Rows of an Arrow batch: texts are long, and both sides hold a batch of each task.
+ARROW_ROWS = 2_000
+
+
+def materialise(df: DataFrame, label: str, *, few: bool = False) -> DataFrame:
+    """``df`` as a written table (see ``written``), by Arrow batches of at most ``ARROW_ROWS`` rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        return written(df, label, few=few)
+    finally:
+        conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

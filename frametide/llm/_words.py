@@ -105,9 +105,9 @@ class _Cache(dict):
     what occurs once doesn't push out what comes again.
     """
 
-    def __init__(self, path: str, start: dict):
+    def __init__(self, path: str, start: dict, most: int | None = None):
         super().__init__(start)
-        self.encoder, self.start, self.old = ChunkEncoder(path), start, {}
+        self.encoder, self.start, self.old, self.most = ChunkEncoder(path), start, {}, (most or CACHE_CHUNKS) + len(start)
         self.marks = {m: self.value(m) for m in _PLAIN_ENDS}
 
     def pack(self, ids: list[int]):
@@ -118,7 +118,7 @@ class _Cache(dict):
 
     def keep(self, chunk: str, got) -> None:
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS + len(self.start):
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
                 self.update(self.start)
@@ -163,10 +163,10 @@ class ChunkIds(_Cache):
         return array("I", ids).tobytes()
 
 
-_IDS: dict[str, ChunkIds] = {}
+_IDS: dict[tuple[str, int | None], ChunkIds] = {}
 
 
-def id_cache(path: str) -> ChunkIds:
-    if path not in _IDS:
-        _IDS[path] = ChunkIds(path, {})
-    return _IDS[path]
+def id_cache(path: str, most: int | None = None) -> ChunkIds:
+    if (path, most) not in _IDS:
+        _IDS[path, most] = ChunkIds(path, {}, most)
+    return _IDS[path, most]

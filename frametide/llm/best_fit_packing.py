@@ -36,7 +36,7 @@ BATCH_BYTES = 8 << 20
 MOST_STARTS = 1 << 18
 
 
-def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False, cache_chunks: int | None = None) -> DataFrame:
     """Tokenises every whole text and cuts what is longer than ``width``.
 
     Columns: doc_id, piece, start, length, task and local_rank (the piece's
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokeniz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        ids_of = id_cache(path).__getitem__
+        ids_of = id_cache(path, cache_chunks).__getitem__
         ranks: Counter[int] = Counter()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary() if keep_ids else pa.int64(), pa.int32(), pa.int64()]
         names = ["doc_id", "piece", "start", "length", "ids" if keep_ids else "ids_crc32", "task", "local_rank"]
@@ -152,7 +152,7 @@ def _slots_of_starts(slots: list[tuple[int, int, int, int, int]], rank_bits: int
     return run
 
 
-def best_fit_packing(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def best_fit_packing(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False, cache_chunks: int | None = None) -> DataFrame:
     """Packs all documents into sequences of at most ``width`` tokens.
 
     A document is its text's ids without added special tokens, then ``end_id``;
@@ -160,9 +160,10 @@ def best_fit_packing(docs: DataFrame, *, width: int = WIDTH, end_id: int = END_I
     piece, start, length, ids_crc32, sequence_id, offset (and ids). A null or
     empty text is its ``end_id`` alone; rows with a null or repeated doc_id are
     packed each for itself; an empty table gives an empty one; columns other
-    than doc_id and text are ignored.
+    than doc_id and text are ignored. ``cache_chunks``: how much a worker
+    remembers, which changes speed and memory only.
     """
-    cut = materialise(pieces(docs, width=width, end_id=end_id, tokenizer=tokenizer, keep_ids=keep_ids), "pieces")
+    cut = materialise(pieces(docs, width=width, end_id=end_id, tokenizer=tokenizer, keep_ids=keep_ids, cache_chunks=cache_chunks), "pieces")
     by_task = materialise(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "tasks", few=True)
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``width`` rows
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
