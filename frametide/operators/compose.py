@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frametide.operators.folds import ordered_fold
+
 TOLERANCE = 2
 GAP_MS = 800
 CLIP_MS = 3000
@@ -28,21 +29,23 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
     """One-to-one matches, nearest pairs first (then lower shot, then lower hit); each shot and each hit is used once.
 
     A displaced second choice depends on all nearer pairs, so this is an ordered
-    fold over a session's pairs, of which a shot has at most a few.
+    fold over a session's pairs, of which a shot has at most a few. Held are the
+    numbers of the session's matched shots and hits.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dist", "si", "hi"])
-        shots, hits, kept = set(), set(), []
-        for s, h in zip(pdf["si"], pdf["hi"]):
-            free = s not in shots and h not in hits
-            kept.append(free)
+    def session():
+        shots, hits = set(), set()
+
+        def step(shot: int, hit: int) -> tuple:
+            free = shot not in shots and hit not in hits
             if free:
-                shots.add(s)
-                hits.add(h)
-        return pdf[kept]
+                shots.add(shot)
+                hits.add(hit)
+            return (free,)
+
+        return step
 
-    return pairs.groupBy("session_id").applyInPandas(fold, pairs.schema)
+    return ordered_fold(pairs, "session_id", ["dist", "si", "hi"], ["si", "hi"], "_free boolean", session).filter("_free").drop("_free")
 
 
 def whiffs(shots: DataFrame, matches: DataFrame) -> DataFrame:

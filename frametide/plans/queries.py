@@ -159,7 +159,7 @@ def band_match(spark, d):
 @query
 def band_match_whiff(spark, d):
     f = _frames(spark, d)
-    return compose.derive_events(written(_shots(f), "shots"), written(_hits(f), "hits"))
+    return compose.derive_events(_shots(f), _hits(f))
 
 
 @query
