@@ -167,7 +167,7 @@ WITH t(id, label, tw, tk, key_at, base) AS (VALUES
   SELECT id, list(w ORDER BY r) AS iw, list(q ORDER BY r) AS iq FROM ranked WHERE r <= CASE WHEN base THEN 1 ELSE {PLACES} END GROUP BY id
 ), f AS (
   SELECT uid, words, t.*, iw, iq, unnest(list_filter(range(1, greatest(len(words) - len(tk) + 2, 1)), lambda i: words[i:i + len(tk) - 1] = tk)) - key_at AS start
-  FROM d, t JOIN idx USING (id)
+  FROM d, t JOIN idx USING (id) WHERE list_has_all(words, tk)
 ), m AS (
   SELECT uid, label, base, start,
          len(list_filter(range(1, len(iw) + 1), lambda j: start + iq[j] >= 1 AND words[start + iq[j]] = iw[j])) AS votes, ceil({AGREE} * len(iw)) AS need,
