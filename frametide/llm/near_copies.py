@@ -8,16 +8,24 @@ Here a text's fingerprint is ``WORDS`` 64-bit words of majority bits over its
 
 A budget of a seventh of all bits prunes a trie only far below its leading bits:
 sent by prefix, as op6 does it, each fingerprint would go to hundreds of tasks.
-So texts first meet in buckets: those that agree in one of ``BANDS`` bands of
-``ROWS`` minimum hashes of their shingles, all but one pair in 10,000 at 0.8 and
-fewer above. Inside a bucket the tries are joined with themselves: pairs of nodes
-are walked together, differing bits add up, and a pair is dropped once the budget
-is passed or all below it is connected. Only a spanning forest leaves a bucket,
-so a family of near copies gives as many rows as it has members, not pairs.
+So links are found in two passes, of which the second loses none:
+
+1. Texts meet in buckets: those that agree in one of ``BANDS`` bands of ``ROWS``
+   minimum hashes of their shingles. Inside a bucket the tries are joined with
+   themselves: pairs of nodes are walked together, differing bits add up, and a
+   pair is dropped once the budget is passed or all below it is connected. Only a
+   spanning forest leaves a bucket, so a family of near copies gives as many rows
+   as it has members, not pairs.
+2. What meets in no bucket: every fingerprint is held against all that aren't in
+   its component yet, block by block. Of 162 differing bits in 54 parts some part
+   has three, so fingerprints within 161 bits differ in at most two bits of some
+   part: parts are looked up under all masks of up to two bits, and what is found
+   is held against the budget, first on two parts together, then on all bits.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -38,6 +46,8 @@ WORDS = 16
 BANDS, ROWS = 24, 5
 #: Fingerprints of one bucket that a task holds at a time, twice; larger buckets are joined block by block.
 BLOCK = 65_536
+#: The second pass deals ``n`` fingerprints into ``sqrt(n / SHARE)`` blocks, at most ``MOST_BLOCKS``: a task holds two.
+SHARE, MOST_BLOCKS = 8_192, 40
 
 _RANDOM = np.random.default_rng(SEED)
 _FLIP = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
@@ -45,6 +55,8 @@ _ODD = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2)
 _MIX = _RANDOM.integers(0, 1 << 63, (3, WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 1024
 _LEAF_PAIRS = 1 << 17
+#: Bits of a part that are looked up, bits in which it may differ, and candidates that are held at a time.
+_KEY_BITS, _PART_BITS, _PIECE = 19, 2, 1 << 20
 
 
 def budget(similarity: float = SIMILARITY, words: int = WORDS) -> int:
@@ -194,9 +206,150 @@ def _edges(distinct: DataFrame, max_bits: int, block: int) -> DataFrame:
     return rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").select("bucket", "low", "high", "node", "fp").mapInArrow(_walk(max_bits), "u long, v long")
 
 
-def near_groups(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def parts(bits: int, max_bits: int) -> list[tuple[int, int]]:
+    """An even number of ranges of at most 32 bits. Fingerprints that differ in more than ``_PART_BITS`` bits of each, or in more than twice that and one of each two, differ in more than ``max_bits``."""
+    n = 2 * (max_bits // (2 * _PART_BITS + 2) + 1)
+    starts = [bits * i // n for i in range(n + 1)]
+    return [(a, min(b, a + 32)) for a, b in zip(starts, starts[1:])]
+
+
+def _take(fps: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Bits ``first`` to ``last``, without it, of each row of words."""
+    word, bit = divmod(first, 64)
+    value = fps[:, word] << np.uint64(bit)
+    if last > 64 * (word + 1):
+        value |= fps[:, word + 1] >> np.uint64(64 - bit)
+    return value >> np.uint64(64 - (last - first))
+
+
+def _expand(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Position i ``counts[i]`` times with 0, 1, ... beside it, by pieces of at most ``_PIECE`` and one position's."""
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PIECE, "right")))
+        n = counts[at:stop]
+        yield np.repeat(np.arange(at, stop), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = stop
+
+
+class _Runs:
+    """Rows in order of a key, cut into runs of one key and one label."""
+
+    def __init__(self, rows: np.ndarray, key: np.ndarray, label: np.ndarray, width: int):
+        order = np.argsort((key[rows] << 40) | label[rows])
+        self.rows = rows[order]
+        k, v = key[self.rows], label[self.rows]
+        self.first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])]))
+        self.size = np.diff(np.append(self.first, len(k)))
+        self.key, self.label = k[self.first], v[self.first]
+        #: The first run of each key, and whether there is one.
+        self.begin = np.searchsorted(self.key, np.arange((1 << width) + 1))
+        self.has = self.begin[1:] > self.begin[:-1]
+        self.single = len(self.first) == len(k)
+
+
+def _candidates(left: _Runs, right: _Runs, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of differing labels whose keys differ in just the bits of ``mask``; of a table with itself each pair once."""
+    target = left.key ^ mask
+    if left is not right:
+        hit = np.flatnonzero(right.has[target])
+        lo = right.begin[target[hit]]
+    elif mask:
+        hit = np.flatnonzero(right.has[target] & (left.key < target))
+        lo = right.begin[target[hit]]
+    else:
+        hit = np.arange(len(target))
+        lo = hit + 1
+    for i, k in _expand(right.begin[target[hit] + 1] - lo):
+        a, b = hit[i], lo[i] + k
+        apart = left.label[a] != right.label[b]
+        a, b = a[apart], b[apart]
+        if left.single and right.single:
+            yield left.rows[left.first[a]], right.rows[right.first[b]]
+            continue
+        for i, k in _expand(left.size[a]):
+            x, of = left.rows[left.first[a][i] + k], b[i]
+            for i, k in _expand(right.size[of]):
+                yield x[i], right.rows[right.first[of][i] + k]
+
+
+def rest_links(fps: np.ndarray, label: np.ndarray, max_bits: int, cut: int = 0) -> np.ndarray:
+    """``label`` with all components joined that a link connects: fingerprints as rows of words, labels the least position of each component.
+
+    ``cut``: only the rows before it are held against the others; 0: all against all.
+    """
+    forest = Forest(len(fps))
+    forest.label = label
+    rows = np.arange(len(fps))
+    ranges = parts(64 * fps.shape[1], max_bits)
+    for pair in zip(ranges[::2], ranges[1::2]):
+        values = [_take(fps, *r) for r in pair]
+        both = (values[0] << np.uint64(32)) | values[1]
+        for value, (first, last) in zip(values, pair):
+            width = min(last - first, _KEY_BITS)
+            key = (value >> np.uint64(last - first - width)).astype(np.int64)
+            left = _Runs(rows[:cut] if cut else rows, key, forest.label, width)
+            right = _Runs(rows[cut:], key, forest.label, width) if cut else left
+            for mask in [sum(1 << b for b in set(bits)) for k in range(_PART_BITS + 1) for bits in itertools.combinations(range(width), k)]:
+                for x, y in _candidates(left, right, mask):
+                    near = np.bitwise_count(both[x] ^ both[y]) <= 2 * _PART_BITS + 1
+                    x, y = x[near], y[near]
+                    for at in range(0, len(x), _LEAF_PAIRS):
+                        u, v = x[at : at + _LEAF_PAIRS], y[at : at + _LEAF_PAIRS]
+                        near = np.bitwise_count(fps[u] ^ fps[v]).sum(axis=1, dtype=np.int64) <= max_bits
+                        forest.link(u[near], v[near])
+    return forest.label
+
+
+def _meet(max_bits: int):
+    """From the rows (unit, side, root, fp) of pairs of blocks, all of a unit in one task: edges (u, v) between roots that links across components connect."""
+
+    def links(side: np.ndarray, root: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(side, kind="stable")
+        root, fps = root[order], fps[order].astype(np.uint64)
+        _, first, at = np.unique(root, return_index=True, return_inverse=True)
+        label, cut = first[at], int(np.count_nonzero(side == 0))
+        if cut < len(side) and (cut or side[order[0]] == 2):  # two blocks, sides 0 and 1, or one with itself, side 2
+            label = rest_links(fps, label, max_bits, cut)
+        found = first[label[first] != first]
+        return pa.RecordBatch.from_arrays([pa.array(root[found], pa.int64()), pa.array(root[label[found]], pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, raw = [], []
+        for batch in batches:
+            columns.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("unit", "side", "root")]))
+            raw.append(b"".join(batch.column("fp").to_pylist()))
+        if not raw:
+            return
+        unit, side, root = np.concatenate(columns, axis=1)
+        fps = np.frombuffer(b"".join(raw), ">u8").reshape(-1, WORDS)
+        raw.clear()
+        for one in np.unique(unit):
+            rows = np.flatnonzero(unit == one)
+            yield links(side[rows], root[rows], fps[rows])
+
+    return run
+
+
+def _rest(placed: DataFrame, n: int, max_bits: int, blocks: int | None = None) -> DataFrame:
+    """Edges (u, v) between the components (root) of a written table (node, fp, root) of ``n`` rows that any link connects, whether or not its texts share a bucket."""
+    blocks = blocks or min(MOST_BLOCKS, max(1, round(math.sqrt(n / SHARE))))
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    met = placed.select("root", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    unit = (high * (high + 1) / 2).cast("int") + low
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") == high).cast("int"))
+    met = met.select(unit.alias("unit"), side.alias("side"), "root", "fp")
+    return met.repartitionById(blocks * (blocks + 1) // 2, F.col("unit")).mapInArrow(_meet(max_bits), "u long, v long").distinct()
+
+
+def near_groups(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK, blocks: int | None = None) -> DataFrame:
     """Groups documents by chains of links: doc_id, component_id, kept and the row's number.
 
+    ``blocks``: how many the second pass makes, by default as many as the number
+    of fingerprints asks for; it changes no result.
+
     Words are runs of anything but ASCII white space, A-Z in lower case; a text
     of fewer than five is one shingle; null, empty and blank texts have a
     fingerprint of zeros and are linked to each other. component_id is the
@@ -210,8 +363,18 @@ def near_groups(docs: DataFrame, *, similarity: float = SIMILARITY, block: int =
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(UID).alias("uid")))
     distinct = materialise(sketches.groupBy("fp").agg(F.count("*").alias("n_rows"), best.alias("best"), F.min(UID).alias("node"), F.min_by("met", UID).alias("met")), "distinct", few=True)
     stars = components(_edges(distinct, budget(similarity), block), "stars")
-    placed = distinct.select("node", "fp", "n_rows", "best").join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v")
-    placed = materialise(placed, "placed", few=True)
+
+    def place(stars: DataFrame) -> DataFrame:
+        found = distinct.select("node", "fp", "n_rows", "best").join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v")
+        return materialise(found, "placed", few=True)
+
+    placed = place(stars)
+    rest = materialise(_rest(placed, distinct.count(), budget(similarity), blocks), "rest", few=True)
+    if not rest.isEmpty():
+        merged = components(stars.unionByName(rest), "stars")
+        discard(placed, stars)
+        stars, placed = merged, place(merged)
+    discard(rest)
     roots = materialise(placed.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n_fps")), "roots", few=True)
     groups = materialise(skew_join(placed.select("fp", "n_rows", "root"), roots, ["root"], "n_fps", placed.count(), ["fp"]), "groups", few=True)
     joined = skew_join(sketches.select("doc_id", UID, "fp"), groups.select("fp", "n_rows", "least"), ["fp"], "n_rows", sketches.count(), [UID])

@@ -152,3 +152,68 @@ def test_rows_are_numbered_alike_in_every_reading(spark, tmp_path):
     read = spark.read.parquet(f"{tmp_path}/e")
     left = exact_dedup.drop_exact_copies(read)
     assert left.columns == read.columns and left.count() == 5
+
+
+#: Seeds of pairs that are within the budget and share no bucket: five of 200,000.
+STRAY = (42992, 116856, 119902, 162002, 194346)
+
+
+def stray_pair(seed):
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(40, 120))]
+    return base, edited(rnd, base, rnd.choice((0.03, 0.04, 0.05, 0.06, 0.07)))
+
+
+def test_links_without_a_common_bucket(spark):
+    """Links are all pairs within the budget, not only those that meet in a bucket."""
+    rows = []
+    for n, seed in enumerate(STRAY):
+        a, b = (" ".join(words) for words in stray_pair(seed))
+        sets = [near_copies.shingles(t) for t in (a, b)]
+        assert not set(near_copies.buckets(sets[0]).tolist()) & set(near_copies.buckets(sets[1]).tolist())
+        rows += [(2 * n, a), (2 * n + 1, b)]
+    docs = brute.docs_frame(spark, rows + corpus())
+    want, n = linked(rows + corpus())
+    assert want[:10] == [(i, i - i % 2) for i in range(10)]
+    got = near_copies.near_groups(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(want) and sum(r["kept"] for r in got) == n
+    assert near_copies.pick(corpus_pipeline.near_copies(spark, docs, ""), "doc_id").filter("doc_id < 10").count() == 5
+    got = near_copies.near_groups(docs, blocks=3).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(want)
+
+
+def test_second_pass_finds_all_links_whatever_the_first_left():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, (200, near_copies.WORDS), np.uint64)
+
+    def flipped(rows, places):
+        out = rows.copy()
+        for row in out:
+            for bit in places():
+                row[bit // 64] ^= np.uint64(1) << np.uint64(63 - bit % 64)
+        return out
+
+    even = lambda k: lambda: np.arange(k) * 1024 // k
+    some = lambda k: lambda: rng.choice(1024, k, replace=False)
+    for k, n in ((161, 200), (162, 400)):
+        for places in (even(k), some(k), lambda: np.arange(k)):
+            fps = np.concatenate([base, flipped(base, places)])
+            for cut in (0, 200):
+                assert len(set(near_copies.rest_links(fps, np.arange(400), 161, cut).tolist())) == n
+    # a family that is joined already, one that isn't, and members of both far from the first of their family
+    fps = np.concatenate([base, *(flipped(np.repeat(base[i : i + 1], 150, axis=0), some(k)) for i, k in ((0, 40), (1, 70), (0, 150), (1, 165)))])
+    start = np.arange(len(fps))
+    start[200:350] = 0
+    for cut in (0, 260):
+        forest = simhash_dedup.Forest(len(fps))
+        forest.link(start, np.arange(len(fps)))
+        for i in range(len(fps)):
+            j = np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]).sum(axis=1) <= 161)
+            if cut:
+                j = j[j < cut] if i >= cut else j[:0]
+            forest.link(np.full(len(j), i), j)
+        assert (near_copies.rest_links(fps, start.copy(), 161, cut) == forest.label).all() and 100 < len(set(forest.label.tolist())) < 600
+    for bits, most in ((64, 0), (64, 4), (1024, 40), (1024, 280)):  # other similarities: the parts cover no bit twice and suffice
+        ranges = near_copies.parts(bits, most)
+        assert all(a < b <= c for (a, b), (c, _) in zip(ranges, ranges[1:])) and ranges[-1][1] <= bits
+        assert len(ranges) % 2 == 0 and 3 * len(ranges) > most
