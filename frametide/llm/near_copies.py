@@ -55,8 +55,8 @@ _ODD = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2)
 _MIX = _RANDOM.integers(0, 1 << 63, (3, WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 1024
 _LEAF_PAIRS = 1 << 17
-#: Bits of a part that are looked up, bits in which it may differ, and candidates that are held at a time.
-_KEY_BITS, _PART_BITS, _PIECE = 19, 2, 1 << 20
+#: Bits of a part that are looked up, bits in which it may differ, candidates that are held at a time, and runs that are worth a round.
+_KEY_BITS, _PART_BITS, _PIECE, _MANY = 19, 2, 1 << 20, 1 << 12
 
 
 def budget(similarity: float = SIMILARITY, words: int = WORDS) -> int:
@@ -236,22 +236,23 @@ def _expand(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class _Runs:
     """Rows in order of a key, cut into runs of one key and one label."""
 
-    def __init__(self, rows: np.ndarray, key: np.ndarray, label: np.ndarray, width: int):
+    def __init__(self, rows: np.ndarray, key: np.ndarray, label: np.ndarray, both: np.ndarray, width: int):
         order = np.argsort((key[rows] << 40) | label[rows])
         self.rows = rows[order]
+        self.both = both[self.rows]
         k, v = key[self.rows], label[self.rows]
         self.first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])]))
         self.size = np.diff(np.append(self.first, len(k)))
-        self.key, self.label = k[self.first], v[self.first]
+        self.key, self.label = k[self.first].astype(np.int32), v[self.first]
         #: The first run of each key, and whether there is one.
-        self.begin = np.searchsorted(self.key, np.arange((1 << width) + 1))
+        self.begin = np.searchsorted(self.key, np.arange((1 << width) + 1, dtype=np.int32)).astype(np.int32)
         self.has = self.begin[1:] > self.begin[:-1]
         self.single = len(self.first) == len(k)
 
 
-def _candidates(left: _Runs, right: _Runs, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of differing labels whose keys differ in just the bits of ``mask``; of a table with itself each pair once."""
-    target = left.key ^ mask
+def _run_pairs(left: _Runs, right: _Runs, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs whose keys differ in just the bits of ``mask``; of a table with itself each pair once."""
+    target = left.key ^ np.int32(mask)
     if left is not right:
         hit = np.flatnonzero(right.has[target])
         lo = right.begin[target[hit]]
@@ -261,17 +262,34 @@ def _candidates(left: _Runs, right: _Runs, mask: int) -> Iterator[tuple[np.ndarr
     else:
         hit = np.arange(len(target))
         lo = hit + 1
-    for i, k in _expand(right.begin[target[hit] + 1] - lo):
-        a, b = hit[i], lo[i] + k
-        apart = left.label[a] != right.label[b]
-        a, b = a[apart], b[apart]
+    end = right.begin[target[hit] + 1]
+    while len(hit) > _MANY:  # most keys have few runs, which are taken one after the other
+        more = lo < end
+        hit, lo, end = hit[more], lo[more], end[more]
+        yield hit, lo
+        lo = lo + 1
+    for i, k in _expand(end - lo):
+        yield hit[i], lo[i] + k
+
+
+def _candidates(left: _Runs, right: _Runs, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of differing labels whose keys differ in just the bits of ``mask``, both parts together in few enough."""
+    most = 2 * _PART_BITS + 1
+    for a, b in _run_pairs(left, right, mask):
         if left.single and right.single:
-            yield left.rows[left.first[a]], right.rows[right.first[b]]
+            near = np.flatnonzero(np.bitwise_count(left.both[a] ^ right.both[b]) <= most)
+            a, b = a[near], b[near]
+            apart = left.label[a] != right.label[b]
+            yield left.rows[a[apart]], right.rows[b[apart]]
             continue
+        apart = left.label[a] != right.label[b]
+        a, b = a[apart], b[apart]
         for i, k in _expand(left.size[a]):
-            x, of = left.rows[left.first[a][i] + k], b[i]
+            x, of = left.first[a][i] + k, b[i]
             for i, k in _expand(right.size[of]):
-                yield x[i], right.rows[right.first[of][i] + k]
+                y = right.first[of][i] + k
+                near = np.flatnonzero(np.bitwise_count(left.both[x[i]] ^ right.both[y]) <= most)
+                yield left.rows[x[i][near]], right.rows[y[near]]
 
 
 def rest_links(fps: np.ndarray, label: np.ndarray, max_bits: int, cut: int = 0) -> np.ndarray:
@@ -289,12 +307,10 @@ def rest_links(fps: np.ndarray, label: np.ndarray, max_bits: int, cut: int = 0)
         for value, (first, last) in zip(values, pair):
             width = min(last - first, _KEY_BITS)
             key = (value >> np.uint64(last - first - width)).astype(np.int64)
-            left = _Runs(rows[:cut] if cut else rows, key, forest.label, width)
-            right = _Runs(rows[cut:], key, forest.label, width) if cut else left
+            left = _Runs(rows[:cut] if cut else rows, key, forest.label, both, width)
+            right = _Runs(rows[cut:], key, forest.label, both, width) if cut else left
             for mask in [sum(1 << b for b in set(bits)) for k in range(_PART_BITS + 1) for bits in itertools.combinations(range(width), k)]:
                 for x, y in _candidates(left, right, mask):
-                    near = np.bitwise_count(both[x] ^ both[y]) <= 2 * _PART_BITS + 1
-                    x, y = x[near], y[near]
                     for at in range(0, len(x), _LEAF_PAIRS):
                         u, v = x[at : at + _LEAF_PAIRS], y[at : at + _LEAF_PAIRS]
                         near = np.bitwise_count(fps[u] ^ fps[v]).sum(axis=1, dtype=np.int64) <= max_bits
